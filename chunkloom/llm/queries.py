@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import media, mix, pack, pii, tokens, topk, toxic, urls
+from chunkloom.llm import jaccard, media, mix, pack, pii, tokens, topk, toxic, urls
 from chunkloom.storage import table
 
 
@@ -39,6 +39,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_token_counts, op3_pack, op4_topk, op5_pii, op7_url_filter, op9_media, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_token_counts, op3_pack, op4_topk, op5_pii, op6_jaccard, op7_url_filter, op9_media, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op4_topk": """
