@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import jaccard, media, mix, pack, pii, tokens, topk, toxic, urls
+from chunkloom.llm import html, jaccard, media, mix, pack, pii, tokens, topk, toxic, urls
 from chunkloom.storage import table
 
 
@@ -47,6 +47,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_token_counts, op3_pack, op4_topk, op5_pii, op6_jaccard, op7_url_filter, op9_media, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_token_counts, op3_pack, op4_topk, op5_pii, op6_jaccard, op7_url_filter, op8_html_text, op9_media, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op4_topk": """
