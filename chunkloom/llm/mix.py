@@ -60,12 +60,12 @@ def targets(per_source: DataFrame, weights: tuple[float, ...], share: float, cap
 
 
 def streams(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, class_no and `start`, its offset in its source's stream.
+    """One row a document: doc_id, source, text_hash, size, source_size, target, class_no and `start`, its offset in its source's stream.
 
     The stream's order is by md5 of doc_id, so reruns agree. Null texts have size 0, a null source is a source of its own
     (the last), null ids sort first, repeated rows are documents of their own.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
     h = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
     rows = rows.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("key"), h.alias("h"))
     rows = staged(rows.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)), "mix-sizes")
@@ -73,7 +73,7 @@ def streams(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
     per_source = targets(totals.groupBy("key").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
     by_bucket = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(by_bucket), F.lit(0))).join(per_source, "key")
-    inside = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(totals.drop("bucket_size"), ["key", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("inside"))
 
@@ -102,11 +102,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, schedules: tuple = SCHEDULES) -> DataFrame:
-    """The mixed corpus as whole documents: doc_id, copy (0 or 1) and position of every copy that the mix takes.
+    """The mixed corpus as whole documents: doc_id, text_hash, copy (0 or 1) and position of every copy that the mix takes.
 
     A copy is taken whole if its middle lies within the target, so that no document is cut; empty documents are taken once.
     """
     s = streams(docs, weights, share, cap)
     s = s.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("offset", F.col("start") + F.col("copy") * F.col("source_size"))
     kept = s.where(((F.col("size") == 0) & (F.col("copy") == 0)) | ((F.col("size") > 0) & (F.col("offset") + F.col("size") / 2 <= F.col("target"))))
-    return kept.select("doc_id", "copy", F.coalesce(_position(F.col("offset").cast("double"), schedules), F.lit(0.0)).alias("position"))
+    return kept.select("doc_id", "text_hash", "copy", F.coalesce(_position(F.col("offset").cast("double"), schedules), F.lit(0.0)).alias("position"))

@@ -72,20 +72,20 @@ def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id and, for each candidate expression with a match, the pieces that its matches cut the text into.
+def marked(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and, for each candidate expression with a match, the pieces that its matches cut the text into.
 
     A piece: n, its code points; v, the match at its start (all but the first piece); tail, its last characters;
     head, the character behind the match.
     """
-    rows = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, OTHER * 2).alias("t"))
+    rows = docs.select(*keep, F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, OTHER * 2).alias("t"))
     cols = []
     for name, (_, _, test, regex) in CANDIDATES.items():
         pieces = f"split(regexp_replace(t, {_literal(regex)}, '{OPEN}$0{CLOSE}'), '{OPEN}')"
         value, rest = f"substring_index(p, '{CLOSE}', 1)", f"substring_index(p, '{CLOSE}', -1)"
         item = f"named_struct('n', cast(length(p) - if(i > 0, 1, 0) as bigint), 'v', if(i > 0, {value}, ''), 'tail', right({rest}, {CONTEXT}), 'head', left({rest}, 1))"
         cols.append(F.expr(f"CASE WHEN {test} THEN transform({pieces}, (p, i) -> {item}) END").alias(name))
-    return rows.select("doc_id", *cols)
+    return rows.select(*keep, *cols)
 
 
 def _starts(items: str) -> str:
@@ -96,8 +96,8 @@ def _starts(items: str) -> str:
     return f"flatten(zip_with({chunks}, {sums(chunks, total)}, (c, s) -> transform({sums('c', 'x.n')}, z -> z + s)))"
 
 
-def candidates(pieces: DataFrame) -> DataFrame:
-    """doc_id and `c`, its candidates that pass their kind's test: kind, base, start, stop, votes, features."""
+def candidates(pieces: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and `c`, the row's candidates that pass their kind's test: kind, base, start, stop, votes, features."""
     every = []
     for name, (kind, base, _, _) in CANDIDATES.items():
         digits = "regexp_replace(x.v, '[^0-9]', '')"
@@ -130,7 +130,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
         found = f"filter(slice({joined}, 2, greatest(size({name}) - 1, 0)), x -> {valid})"
         every.append(f"CASE WHEN size({name}) > 1 THEN transform({found}, x -> {struct}) ELSE array() END")
     kind = "struct<kind:string,base:boolean,start:bigint,stop:bigint,votes:string,features:array<string>>"
-    return pieces.select("doc_id", F.expr(f"concat({', '.join(f'cast({e} as array<{kind}>)' for e in every)})").alias("c"))
+    return pieces.select(*keep, F.expr(f"concat({', '.join(f'cast({e} as array<{kind}>)' for e in every)})").alias("c"))
 
 
 def reliabilities(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
@@ -181,17 +181,25 @@ def train(found: DataFrame) -> dict[str, float]:
     return {k: round(v, 9) for k, v in (out | {"": math.log(whole[0] / whole[1])}).items()}
 
 
-def pii_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and `spans` of every row: kind, start, stop (exclusive), base; by start, then kind.
+def pii_spans(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` (doc_id if none) and `spans` of every row: kind, start, stop (exclusive), base; by start, then kind.
 
     Null and empty texts have no spans. Repeated rows stay. Base spans of different kinds may overlap.
     """
-    found = candidates(staged(marked(docs), "pii-pieces"))
+    keep = keep or ("doc_id",)
+    found = candidates(staged(marked(docs, *keep), "pii-pieces"), *keep)
     weights = _map(train(found))
     score = "aggregate(concat(x.features, array('')), 0D, (s, f) -> s + coalesce(element_at(w, f), 0D))"
     order = f"array_position(array({', '.join(repr(k) for k in KINDS)}), x.kind)"
     kept = F.expr(f"array_sort(transform(filter(c, x -> x.base OR {score} > 0), x -> named_struct('start', x.start, 'k', {order}, 'kind', x.kind, 'stop', x.stop, 'base', x.base)))")
-    return found.withColumn("w", weights).select("doc_id", kept.alias("spans"))
+    return found.withColumn("w", weights).select(*keep, kept.alias("spans"))
+
+
+def redacted(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` (text among them) with every span of the text replaced by its kind in angle brackets; of overlapping spans the first. Null texts stay null."""
+    step = "if(x.start < a.at, a, named_struct('at', x.stop, 'parts', concat(a.parts, array(substring(text, cast(a.at as int) + 1, cast(x.start - a.at as int)), concat('<', x.kind, '>')))))"
+    masked = f"aggregate(spans, named_struct('at', 0L, 'parts', cast(array() as array<string>)), (a, x) -> {step}, a -> concat(array_join(a.parts, ''), substring(text, cast(a.at as int) + 1)))"
+    return pii_spans(docs, *keep).select(*(F.expr(f"CASE WHEN size(spans) > 0 THEN {masked} ELSE text END").alias("text") if c == "text" else c for c in keep))
 
 
 def digest(docs: DataFrame) -> DataFrame:

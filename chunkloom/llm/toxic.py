@@ -243,19 +243,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 
 def evidence(docs: DataFrame, held, *keep: str) -> DataFrame:
-    """The columns `keep`, then mean and strongest, of every row. held: a broadcast Model."""
+    """The columns `keep` (any but mean and strongest), then mean and strongest, of every row. held: a broadcast Model."""
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    place = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(held.value)
-        for b in batches:
-            got = [s.evidence(t.as_py()) for t in b.column("__text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *(pa.array([g[i] for g in got], pa.float64()) for i in (0, 1))], names=[*keep, "mean", "strongest"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                got = [s.evidence(t.as_py()) for t in b.column(place)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array([g[i] for g in got], pa.float64()) for i in (0, 1))], names=[*keep, "mean", "strongest"])
 
-    rows = docs.select(*keep, F.col("text").alias("__text"))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["mean double", "strongest double"]))
 
 
+def probability(w: np.ndarray) -> Column:
+    """The score of a row with mean and strongest."""
+    return 1 / (1 + F.exp(-(F.col("mean") * float(w[0]) + F.col("strongest") * float(w[1]) + float(w[2]))))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, np.ndarray]:
     """The model of the whole training sample, and the curve's weights, fitted on the second fold as the first fold's model sees it."""
     spark = docs.sparkSession
@@ -277,6 +285,5 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thresh
     """
     model, w = train(docs, labels, per_class)
     got = evidence(docs, docs.sparkSession.sparkContext.broadcast(model), "doc_id")
-    p = 1 / (1 + F.exp(-(F.col("mean") * float(w[0]) + F.col("strongest") * float(w[1]) + float(w[2]))))
-    out = got.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), p.alias("score"))
+    out = got.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), probability(w).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
