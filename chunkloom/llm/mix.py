@@ -79,7 +79,7 @@ def streams(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
 
 
 def _position(offset: Column, schedules: tuple) -> Column:
-    fraction = F.least(F.greatest(offset / F.col("target"), F.lit(0.0)), F.lit(1.0))
+    fraction = F.when(F.col("target") > 0, F.least(F.greatest(F.try_divide(offset, F.col("target")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     out = inverse_demand(fraction, schedules[0])
     for i, knots in enumerate(schedules[1:], 1):
         out = F.when(F.col("class_no") % len(schedules) == i, inverse_demand(fraction, knots)).otherwise(out)
