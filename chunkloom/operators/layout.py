@@ -256,3 +256,45 @@ def partition_gaps(partitions: DataFrame) -> DataFrame:
     w = W.partitionBy("disk_id").orderBy("first_lba")
     covered = F.max("last_lba").over(w.rowsBetween(W.unboundedPreceding, 0))
     return partitions.select("disk_id", (covered + 1).alias("gap_first"), (F.lead("first_lba").over(w) - 1).alias("gap_last")).where("gap_last >= gap_first")
+
+
+def rewrite_gpt(primary: bytes, sector: int, disk_size: int, places: dict[int, tuple[int, int]] | None = None) -> tuple[bytes, int, bytes]:
+    """The boot structures for another drive: (primary, offset of the backup, backup).
+
+    primary: the captured sectors from 0 up to the end of the entry array. places: new first and last sector by slot (none
+    moves: the layout as it is on a drive of another size). All identifiers stay; sizes, positions and checksums follow.
+    """
+    if parse_gpt(primary, sector) is None:
+        raise ValueError("the captured table is damaged")
+    out = bytearray(primary)
+    head = out[sector : sector + struct.unpack_from("<I", out, sector + 12)[0]]
+    at, count, width = struct.unpack_from("<QII", head, 72)
+    table = out[at * sector : at * sector + count * width]
+    for slot, (first, last) in (places or {}).items():
+        if not 0 <= slot < count or last < first:
+            raise ValueError(f"slot {slot} can't be placed at {first}..{last}")
+        struct.pack_into("<QQ", table, slot * width + 32, first, last)
+    last_sector = disk_size // sector - 1
+    table_sectors = -(-len(table) // sector)
+    usable = last_sector - table_sectors - 1
+    used = [struct.unpack_from("<Q", table, i * width + 40)[0] for i in range(count) if any(table[i * width : i * width + 16])]
+    if used and max(used) > usable:
+        raise ValueError("a partition would end behind the last usable sector")
+
+    def header(own: int, other: int, entries: int) -> bytes:
+        h = bytearray(head)
+        struct.pack_into("<QQ", h, 24, own, other)
+        struct.pack_into("<Q", h, 48, usable)
+        struct.pack_into("<Q", h, 72, entries)
+        struct.pack_into("<I", h, 88, zlib.crc32(table))
+        struct.pack_into("<I", h, 16, 0)
+        struct.pack_into("<I", h, 16, zlib.crc32(h))
+        return bytes(h)
+
+    out[sector : sector + len(head)] = header(1, last_sector, at)
+    out[at * sector : at * sector + len(table)] = table
+    if out[446 + 4] == 0xEE:  # the protective entry covers the drive
+        struct.pack_into("<I", out, 446 + 12, min(last_sector, 0xFFFFFFFF))
+    first = last_sector - table_sectors
+    backup = bytes(table).ljust(table_sectors * sector, b"\0") + header(last_sector, 1, first).ljust(sector, b"\0")
+    return bytes(out), first * sector, backup

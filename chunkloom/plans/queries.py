@@ -613,3 +613,14 @@ def layout_fit(spark, sf):
     rows = [("C12A7328-F81F-11D2-BA4B-00A0C93EC93B", 0, F.lit(2048), F.lit(206847)), ("EBD0A0A2-B9E5-4433-87C0-68B6B72699C7", 1, F.lit(206848), 206848 + 2048 * (k % 500 + 100)), ("DE94BBA4-06D1-4D40-A16A-BFD50179D6AC", 2, 208896 + 2048 * (k % 500 + 100), 208895 + 2048 * (k % 500 + 110))]
     parts = [s.select(k.alias("disk_id"), F.lit("gpt").alias("scheme"), F.lit(512).alias("sector"), F.lit(i).alias("idx"), F.lit(g).alias("type_guid"), F.lit(0).alias("mbr_type"), F.lit("").alias("name"), F.lit(False).alias("logical"), a.cast("long").alias("first_lba"), b.cast("long").alias("last_lba")) for g, i, a, b in rows]
     return layout.fit_layouts(parts[0].unionByName(parts[1]).unionByName(parts[2]), layout.Target(1 << 30), grow=True, move_trailing=True)
+
+
+@query()
+def bloom_membership(spark, sf):
+    """Documents against a filter of the even ones' hashes: all even ones must be possible members."""
+    from chunkloom.operators import bloom
+
+    o = T.whole_objects(spark, sf).select("object_id", "strong")
+    bits = bloom.bits_for(max(1, o.count() // 2), 0.01)
+    words = staged(bloom.build(o.where("object_id % 2 = 0"), "strong", bits), "bloom")
+    return bloom.maybe(staged(o, "bloom-rows"), "strong", words, bits).select("object_id", "maybe")

@@ -227,3 +227,32 @@ def test_file_catalog(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * size)
     rows = sorted((r.path, r.size, r.stream_offset) for r in images.file_catalog(spark, [str(tmp_path)], ("*.log",)).collect())
     assert rows == [("a.txt", 3, 0), ("d/b.txt", 5, 3)]
+
+
+def test_gpt_rewritten_for_a_larger_drive():
+    image, size = gpt(), 4 << 20
+    places = {1: (4096, 8000)}
+    primary, at, backup = layout.rewrite_gpt(image[: 34 * 512], 512, size, places)
+    assert [(p.first, p.last) for p in layout.parse_gpt(primary, 512)] == [(2048, 4095), (4096, 8000)] or size // 512 <= 8000
+    assert at + len(backup) == size
+    head = backup[-512:-420]
+    assert head[:8] == b"EFI PART" and struct.unpack_from("<QQ", head, 24) == (size // 512 - 1, 1)
+    assert zlib.crc32(head[:16] + bytes(4) + head[20:92]) == struct.unpack_from("<I", head, 16)[0]
+    assert zlib.crc32(backup[: 128 * 128]) == struct.unpack_from("<I", head, 88)[0]
+    with pytest.raises(ValueError):
+        layout.rewrite_gpt(image[: 34 * 512], 512, 1 << 20, places)
+    damaged = bytearray(image)
+    damaged[600] ^= 1
+    with pytest.raises(ValueError):
+        layout.rewrite_gpt(bytes(damaged[: 34 * 512]), 512, size)
+
+
+def test_bloom_filter(spark):
+    from chunkloom.operators import bloom
+
+    d = spark.range(20000).select(F.col("id"), F.col("id").cast("string").alias("s"))
+    bits = bloom.bits_for(10000, 0.01)
+    words = bloom.build(d.where("id < 10000"), "s", bits)
+    got = bloom.maybe(d, "s", words, bits).groupBy((F.col("id") < 10000).alias("inside")).agg(F.sum(F.col("maybe").cast("int")).alias("n")).collect()
+    n = {r.inside: r.n for r in got}
+    assert n[True] == 10000 and n[False] < 300
