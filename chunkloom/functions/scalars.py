@@ -96,8 +96,7 @@ def key_id(key: Column, domain: str = "chunkloom-key-id-v1") -> Column:
 
 def encrypt(data: Column, key: Column, aad: str, iv: Column | None = None) -> Column:
     """AES-GCM with a 12-byte nonce in front and a 16-byte tag behind; aad names the domain."""
-    args = [data, key, F.lit("GCM"), F.lit("DEFAULT")]
-    return F.aes_encrypt(*args, iv if iv is not None else F.lit(b""), F.lit(aad.encode())) if iv is not None else F.aes_encrypt(*args, F.lit(b""), F.lit(aad.encode()))
+    return F.aes_encrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), iv if iv is not None else F.lit(b""), F.lit(aad.encode()))
 
 
 def decrypt(data: Column, key: Column, aad: str) -> Column:

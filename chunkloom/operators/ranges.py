@@ -91,11 +91,12 @@ def data_runs(content: Column, page: int = 4096) -> Column:
     empty = F.array().cast("array<struct<offset:bigint,length:bigint>>")
 
     def add(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["offset"] + F.try_element_at(acc, F.lit(-1))["length"] == p["offset"])
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["offset"].alias("offset"), (F.try_element_at(acc, F.lit(-1))["length"] + p["length"]).alias("length"))))
-        del last
-        return F.when(~p["data"], acc).when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(p["offset"].alias("offset"), p["length"].alias("length")))))
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.struct(last["offset"].alias("offset"), (last["length"] + p["length"]).alias("length"))
+        joins = (F.size(acc) > 0) & (last["offset"] + last["length"] == p["offset"])
+        before = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        alone = F.struct(p["offset"].alias("offset"), p["length"].alias("length"))
+        return F.when(~p["data"], acc).when(joins, F.concat(before, F.array(grown))).otherwise(F.concat(acc, F.array(alone)))
 
     return F.aggregate(pages, empty, add)
 
