@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import scalars as S
 from chunkloom.operators import chunking, closure, dedup, manifest, prune, restore, retention, verify
-from chunkloom.storage import staged
+from chunkloom.storage import ship, staged
 
 SCHEMAS = {
     "index": "strong string, pack_no long, store_offset long, chunk_length long",
@@ -32,6 +32,9 @@ class Repository:
     geometry: chunking.Geometry = chunking.SMALL
     normalizers: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        ship(self.spark)
+
     # versions
 
     def _fs(self):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,5 +38,22 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of all executors, which needn't have it installed. Once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chunkloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():  # not from an archive already
+        archive = Path(tempfile.mkdtemp(prefix="chunkloom-")) / "chunkloom.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+    sc._chunkloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder; every query starts here, so the package is shipped here."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
