@@ -30,7 +30,8 @@ from chunkloom.storage import staged
 
 PER_CLASS, MAX_ENTRIES, BUCKETS = 4096, 200_000, 1 << 20
 DISCOUNT, PREFIX, STRONGEST = 0.75, 4, 2
-THRESHOLD = 0.7
+THRESHOLD, MISFIT = 0.7, 0.97
+EVIDENCE = ("mean", "strongest", "length")
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
@@ -125,11 +126,12 @@ class Scorer(dict):
             self.behind[i] = math.log(c[2] / c[0] / (c[3] / c[1]))
         return i
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Log-likelihood ratio a word: of the whole text by pairs, of its strongest words by themselves. (0, 0) without words."""
+    def evidence(self, text: str | None) -> tuple[float, float, float]:
+        """Log-likelihood ratio a word: of the whole text by pairs, of its strongest words by themselves; and the log of the
+        length, as the strongest of many words are stronger. Zeros without words."""
         words = words_of((text or "").lower())
         if not words:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         if len(self) > self.LIMIT:
             self.reset()
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -145,7 +147,7 @@ class Scorer(dict):
                 at[at == len(self.model.keys)] = 0
                 hit = np.flatnonzero(self.model.keys[at] == keys)
                 total += float((self.model.values[at[hit]] - alone[hit + 1] - self.behind[ids[hit]]).sum())
-        return total / len(words), strongest
+        return total / len(words), strongest, math.log1p(len(words))
 
 
 _last: dict[str, Scorer] = {}
@@ -242,8 +244,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
+def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the score. Some labels are wrong, and a few of them flatten the curve: it is fitted again without rows that the first fit contradicts by MISFIT."""
+    first = logistic(x, y)
+    p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ first, -30, 30)))
+    fits = np.abs(y - p) < MISFIT
+    return logistic(x[fits], y[fits], 0.1) if len(set(y[fits])) == 2 else first
+
+
 def evidence(docs: DataFrame, held, *keep: str) -> DataFrame:
-    """The columns `keep` (any but mean and strongest), then mean and strongest, of every row. held: a broadcast Model."""
+    """The columns `keep` (none named as in EVIDENCE), then EVIDENCE, of every row. held: a broadcast Model."""
     rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     place = rows.columns.index("text")
 
@@ -253,15 +263,18 @@ def evidence(docs: DataFrame, held, *keep: str) -> DataFrame:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 got = [s.evidence(t.as_py()) for t in b.column(place)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array([g[i] for g in got], pa.float64()) for i in (0, 1))], names=[*keep, "mean", "strongest"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array([g[i] for g in got], pa.float64()) for i in range(len(EVIDENCE)))], names=[*keep, *EVIDENCE])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["mean double", "strongest double"]))
+    return rows.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{k} double" for k in EVIDENCE]))
 
 
 def probability(w: np.ndarray) -> Column:
-    """The score of a row with mean and strongest."""
-    return 1 / (1 + F.exp(-(F.col("mean") * float(w[0]) + F.col("strongest") * float(w[1]) + float(w[2]))))
+    """The score of a row with EVIDENCE."""
+    x = F.lit(float(w[-1]))
+    for k, v in zip(EVIDENCE, w, strict=False):
+        x = x + F.col(k) * float(v)
+    return 1 / (1 + F.exp(-x))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, np.ndarray]:
@@ -272,8 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     shared, pairs = _shared_counts(docs), staged(_pairs(text), "toxic-pairs")
     first = spark.sparkContext.broadcast(_model(pairs.where("fold = 0"), shared))
     seen = evidence(text.where("fold = 2"), first, "toxic").toArrow()  # bounded by the sample
-    x = np.column_stack([seen.column("mean").to_numpy(), seen.column("strongest").to_numpy()]) if seen.num_rows else np.zeros((0, 2))
-    weights = logistic(x, seen.column("toxic").to_numpy().astype(float)) if seen.num_rows else np.zeros(3)
+    x = np.column_stack([seen.column(k).to_numpy() for k in EVIDENCE])
+    weights = curve(x, seen.column("toxic").to_numpy().astype(float)) if seen.num_rows else np.zeros(len(EVIDENCE) + 1)
     return _model(pairs, shared), weights
 
 
