@@ -96,6 +96,11 @@ def test_main_text(spark, a, b):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_markup_that_is_not_tidy():
+    page = """<article title=it's><p data-x="a > b">one<p hidden>no</p><p class='x' style="display: none">no<p>two &lt; three <a href="u'v">four</a><!-- no -->"""
+    assert html.main_text(page, None) == "one\ntwo < three four"
+
+
 def test_wrapper_generalises():
     pages = [f"<html><body><article><h1>t{i}</h1>{'<p>x' + str(i) + '</p>' * 1}{'<p>more</p>' * i}{'<table><tr><td>z</td></tr></table>' if i % 2 else ''}</article></body></html>" for i in range(4)]
     w = html.infer([html.texts(p) for p in pages])
