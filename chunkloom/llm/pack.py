@@ -26,6 +26,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from chunkloom.llm.worker import held
+
 WINDOW, BLOCK, STRIDE, SPACING = 4096, 1 << 20, 256, 64
 END_ID = 2
 SENTENCE_PENALTY, INNER_PENALTY = 4, 64
@@ -111,10 +113,9 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), np.uint32)
 
 
-@cache
 def encoder(path: str) -> Encoder:
     """One a worker process, so that its words serve the next tasks too."""
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chunkloom.llm.worker import held
+
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 
 
@@ -77,7 +78,6 @@ class Vocabulary:
         return score, tokens
 
 
-@cache
 def vocabulary(path: str) -> Vocabulary:
     """The ordinary pieces of a SentencePiece model file (a parameter, never copied)."""
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     """doc_id, n_tokens, score of every row. Null and empty texts have no tokens and score 0; repeated rows stay; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_path)
+        v = held(("vocabulary", model_path), lambda: vocabulary(model_path))
         for batch in batches:
             got = [v.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.float64())], schema=_OUT)

@@ -18,7 +18,6 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.llm.worker import held
 from chunkloom.storage import staged
 
 PER_CLASS, MAX_ENTRIES, BUCKETS = 4096, 200_000, 1 << 20
@@ -47,7 +47,7 @@ def bucket(text: str) -> int:
 class Buckets(dict):
     """word -> cell, kept for at most LIMIT words."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -56,9 +56,8 @@ class Buckets(dict):
         return got
 
 
-@cache
 def _buckets() -> Buckets:
-    return Buckets()
+    return held("cells", Buckets)
 
 
 class Model:
@@ -103,7 +102,7 @@ class Scorer(dict):
     The model's words have the first rows; others get one as they are met, at most LIMIT at a time.
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, model: Model):
         super().__init__()
@@ -150,15 +149,8 @@ class Scorer(dict):
         return total / len(words), strongest, math.log1p(len(words))
 
 
-_last: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    """The worker's scorer of this model; only the last model's is kept."""
-    if model.name not in _last:
-        _last.clear()
-        _last[model.name] = Scorer(model)
-    return _last[model.name]
+    return held(("scorer", model.name), lambda: Scorer(model))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -252,13 +244,13 @@ def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return logistic(x[fits], y[fits], 0.1) if len(set(y[fits])) == 2 else first
 
 
-def evidence(docs: DataFrame, held, *keep: str) -> DataFrame:
-    """The columns `keep` (none named as in EVIDENCE), then EVIDENCE, of every row. held: a broadcast Model."""
+def evidence(docs: DataFrame, sent, *keep: str) -> DataFrame:
+    """The columns `keep` (none named as in EVIDENCE), then EVIDENCE, of every row. sent: a broadcast Model."""
     rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     place = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scorer(held.value)
+        s = scorer(sent.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
