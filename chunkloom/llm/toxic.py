@@ -153,10 +153,15 @@ def scorer(model: Model) -> Scorer:
     return held(("scorer", model.name), lambda: Scorer(model))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, toxic, fold of the training sample. Rows without a label of 0 or 1 take no part; of several labels for an id the largest holds."""
+def trainable(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, fold outside the held-out third. Rows without a label of 0 or 1 take no part; of several labels for an id the largest holds."""
     rows = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).where("fold != 1")
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).where("fold != 1")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of `trainable` that are in the training sample."""
+    rows = trainable(labels)
     best = lambda y: rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     return best(0).unionByName(best(1))
 
@@ -224,24 +229,35 @@ def _model(pairs: DataFrame, shared: np.ndarray) -> Model:
     )
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights (the last is the constant) by Newton's method."""
+def stands_for(labels: DataFrame, per_class: int = PER_CLASS) -> dict[int, float]:
+    """Of how many labelled rows a row of the sample is one, by class."""
+    return {r["toxic"]: max(1.0, r["count"] / per_class) for r in trainable(labels).groupBy("toxic").count().collect()}
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights (the last is the constant) by Newton's method. weight: of each row."""
     a, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (weight * (y - p)) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the score. Some labels are wrong, and a few of them flatten the curve: it is fitted again without rows that the first fit contradicts by MISFIT."""
-    first = logistic(x, y)
+def curve(x: np.ndarray, y: np.ndarray, stands: dict[int, float] | None = None) -> np.ndarray:
+    """Weights of the score. Some labels are wrong, and a few of them flatten the curve: it is fitted again without rows that the first fit contradicts by MISFIT.
+
+    stands: how many labelled rows a row of either class is one of. Rows weigh as much (1 on average), so the share of
+    toxic rows is that of all labelled ones, whatever part of a class was sampled.
+    """
+    weight = np.array([(stands or {}).get(int(c), 1.0) for c in y])
+    weight = weight / weight.mean()
+    first = logistic(x, y, weight=weight)
     p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ first, -30, 30)))
     fits = np.abs(y - p) < MISFIT
-    return logistic(x[fits], y[fits], 0.1) if len(set(y[fits])) == 2 else first
+    return logistic(x[fits], y[fits], 0.1, weight=weight[fits]) if len(set(y[fits])) == 2 else first
 
 
 def evidence(docs: DataFrame, sent, *keep: str) -> DataFrame:
@@ -278,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     first = spark.sparkContext.broadcast(_model(pairs.where("fold = 0"), shared))
     seen = evidence(text.where("fold = 2"), first, "toxic").toArrow()  # bounded by the sample
     x = np.column_stack([seen.column(k).to_numpy() for k in EVIDENCE])
-    weights = curve(x, seen.column("toxic").to_numpy().astype(float)) if seen.num_rows else np.zeros(len(EVIDENCE) + 1)
+    weights = curve(x, seen.column("toxic").to_numpy().astype(float), stands_for(labels, per_class)) if seen.num_rows else np.zeros(len(EVIDENCE) + 1)
     return _model(pairs, shared), weights
 
 

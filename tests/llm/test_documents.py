@@ -367,3 +367,17 @@ def test_held_out_labels_change_nothing(spark):
     d = documents(spark, rows)
     a, b = ({r.doc_id: r.score for r in toxic.score(d, labels(spark, m)).collect()} for m in (marks, flipped))
     assert a == b
+
+
+def test_curve_keeps_the_share_of_toxic_rows(spark):
+    """Where the cap takes another part of each class, rows stand for as many as were left out: the score of an evidence stays."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(0, 1, (8000, 1)), r.normal(2, 1, (1000, 1))])
+    y = np.repeat([0.0, 1.0], [8000, 1000])
+    part = np.r_[:1000, 8000:9000]
+    score = lambda w: 1 / (1 + np.exp(-(1.5 * w[0] + w[1])))
+    whole, capped = score(toxic.curve(x, y)), score(toxic.curve(x[part], y[part], {0: 8.0, 1: 1.0}))
+    assert abs(whole - capped) < 0.05 < score(toxic.curve(x[part], y[part])) - whole
+    marks = labels(spark, [(i, 1, int(i % 9 == 0)) for i in range(900)])
+    n = {t: sum(zlib.crc32(str(i).encode()) % 3 != 1 and (i % 9 == 0) == t for i in range(900)) for t in (0, 1)}
+    assert toxic.stands_for(marks, 100) == {0: n[0] / 100, 1: 1.0}
