@@ -53,8 +53,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
-    return pack.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    """The pieces of all documents in sequences of 4096 tokens, which follow the training position.
+
+    docs: the mixed table as read from its files. A scan takes files by size, so the order is restored from what the
+    sorted table was written as: the files' numbers, and the rows' places in them.
+    """
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    rows = docs.select("doc_id", "text", number.alias("file_no"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    order = ("file_no", "file", "row")
+    return pack.pack(rows.repartitionByRange(*order).sortWithinPartitions(*order), tokenizer_file("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

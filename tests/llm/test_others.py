@@ -174,3 +174,28 @@ def test_pipeline_stands_odd_rows(spark):
             at = staged(stage(spark, at, SF), "test")
         ids = {r.doc_id for r in at.collect()}
         assert ids <= {1, 2, 3, None, 7}
+
+
+def test_sequences_follow_the_position(spark):
+    """Several files of unequal size between mixing and packing: the later positions' are the larger ones."""
+    import corpus_pipeline as P
+    from chunkloom.llm import mix
+    from chunkloom.storage import staged
+
+    rows = [(i, f"{'long' if i % 3 == 0 else 'short'} {i} " + " ".join(f"w{i * j % 997}" for j in range(900 if i % 3 == 0 else 5)), "en", f"s{i % 3}", 0) for i in range(1200)]
+    docs = staged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "test")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        mixed = staged(P.mix_sources(spark, docs, SF), "test")
+        pieces = P.pack_sequences(spark, mixed, SF).collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(mixed.inputFiles()) > 2
+    places = defaultdict(list)
+    for r in sorted(mix.copies(docs).collect(), key=lambda r: r.position):
+        places[r.doc_id].append(r.position)
+    order = [p.doc_id for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)) if p.start == 0]
+    assert len(order) == sum(map(len, places.values()))
+    at = [places[i].pop(0) for i in order]
+    assert at == sorted(at)
