@@ -6,9 +6,8 @@ classes share: those of all documents of the corpus. A document's evidence is th
 normalised by length, over the whole text and over its strongest words; a logistic curve fitted across two folds of the
 labelled documents turns it into a score.
 
-Bounds: the labelled sample is at most PER_CLASS documents a class (those with the least hash of doc_id); of its pairs
-and words the MAX_ENTRIES most frequent that occur twice stay, rarer ones are left to the backoff. Shared counts come
-from every document, in BUCKETS hashed cells. So what goes to every task has a fixed size.
+Bounds: the labelled sample is at most PER_CLASS documents a class (those with the least hash of doc_id); all its words
+and pairs go to every task, as arrays. Shared counts come from every document, in BUCKETS hashed cells.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from chunkloom.llm.worker import held
 from chunkloom.storage import staged
 
-PER_CLASS, MAX_ENTRIES, BUCKETS = 4096, 200_000, 1 << 20
+PER_CLASS, BUCKETS = 4096, 1 << 20
 DISCOUNT, PREFIX, STRONGEST = 0.75, 4, 2
 THRESHOLD, MISFIT = 0.7, 0.97
 EVIDENCE = ("mean", "strongest", "length")
@@ -61,68 +61,68 @@ def _buckets() -> Buckets:
 
 
 class Model:
-    """Both classes' models. In every pair the toxic class comes first.
+    """Both classes' models as rows: the sample's words, then their first letters, last all other words.
 
-    words: word -> different words before it; prefix: first letters -> the same summed; context: word -> tokens behind it
-    (two) and different words behind it (two); pairs: (word, word) -> counts; sums, types, prefixes: totals of the first
-    two; shared: cells of the corpus counts.
+    ratio: log ratio (toxic to ordinary) of P(w); behind: what a word adds to the next one's if the pair is unknown; keys and
+    values: pairs of rows and the log ratio of P(w | before).
+    words: word, h (its hash), different words before it in either class (a, b); context: h, tokens behind the word (a, b) and
+    different words behind it (c, d); pairs: hashes x and y, counts (a, b); share: each word's part of all tokens.
     """
 
-    def __init__(self, words: dict, prefix: dict, context: dict, pairs: dict, totals: dict, shared: np.ndarray):
+    CHUNK = 1 << 18
+
+    def __init__(self, words: pa.Table, context: pa.Table, pairs: pa.Table, share: np.ndarray):
         self.name = uuid.uuid4().hex
-        self.words, self.prefix, self.context, self.shared = words, prefix, context, shared
-        self.sums, self.types, self.prefixes = ([max(1, x) for x in totals[k]] for k in ("sums", "types", "prefixes"))
-        self.total = float(shared.sum()) + BUCKETS
-        self.rows = {w: i for i, w in enumerate(sorted(words.keys() | context.keys()))}
-        known = sorted((self.rows[a] << 32 | self.rows[b], a, b, *n) for (a, b), n in pairs.items() if a in context and b in self.rows)
-        self.keys = np.array([x[0] for x in known], np.int64)
-        self.values = np.array([self.pair(*x[1:]) for x in known], np.float64)
-
-    def word(self, w: str) -> tuple[float, float]:
-        """P(w) in either class: discounted continuation counts, then first letters, then shared counts."""
-        share = (float(self.shared[bucket(w)]) + 1) / self.total
-        counts, starts = self.words.get(w, (0, 0)), self.prefix.get(w[:PREFIX], (0, 0))
-        either = max(sum(starts), 1) / sum(self.sums)
-        out = []
-        for c in (0, 1):
-            back = (max(starts[c] - DISCOUNT, 0) + DISCOUNT * self.prefixes[c] / max(1, len(self.prefix))) / self.sums[c]
-            out.append((max(counts[c] - DISCOUNT, 0) + DISCOUNT * self.types[c] * back / either * share) / self.sums[c])
-        return out[0], out[1]
-
-    def pair(self, before: str, w: str, toxic: int, ordinary: int) -> float:
-        """Log ratio of P(w | before)."""
-        c, p = self.context[before], self.word(w)
-        a, b = ((max(n - DISCOUNT, 0) + DISCOUNT * c[2 + i] * p[i]) / c[i] for i, n in enumerate((toxic, ordinary)))
-        return math.log(a / b)
+        columns = lambda t, *names: np.column_stack([t.column(c).to_numpy() for c in names]).astype(np.float64)
+        self.words = words.column("word").combine_chunks()
+        counts, h = columns(words, "a", "b"), words.column("h").to_numpy()
+        order = np.argsort(h)
+        if len(h) and not np.diff(h[order]).all():
+            raise ValueError("two words with one hash")
+        row = lambda x: order[np.searchsorted(h, x, sorter=order)]
+        coded = pc.utf8_slice_codeunits(self.words, 0, PREFIX).dictionary_encode()
+        self.starts, of = coded.dictionary, coded.indices.to_numpy()
+        by = np.column_stack([np.bincount(of, counts[:, c], len(self.starts) + 1) for c in (0, 1)])  # the last: none of them
+        total = lambda x: np.maximum(x.sum(axis=0), 1)
+        sums, types = total(counts), total(counts > 0)
+        back = (np.maximum(by - DISCOUNT, 0) + DISCOUNT * total(by > 0) / max(1, len(self.starts))) / sums
+        either = np.maximum(by.sum(axis=1), 1) / sums.sum()
+        # P(w): discounted continuation counts, then first letters, then shared counts; these cancel out for words of neither class
+        p = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * types * back[of] * (share / either[of])[:, None]) / sums
+        log_ratio = lambda x: np.log(x[:, 0] / x[:, 1])
+        self.ratio = np.concatenate([log_ratio(p), log_ratio(types * back / sums)])
+        behind, kinds = np.zeros_like(p), np.zeros_like(p)
+        at = row(context.column("h").to_numpy())
+        behind[at], kinds[at] = columns(context, "a", "b"), columns(context, "c", "d")
+        rest = np.where(behind > 0, DISCOUNT * kinds / np.maximum(behind, 1), 1.0)  # a class without the context backs off whole
+        self.behind = np.concatenate([log_ratio(rest), np.zeros(len(by))])
+        self.keys, self.values = np.zeros(pairs.num_rows, np.int64), np.zeros(pairs.num_rows)
+        for lo in range(0, pairs.num_rows, self.CHUNK):
+            t = pairs.slice(lo, self.CHUNK)
+            x, y = row(t.column("x").to_numpy()), row(t.column("y").to_numpy())
+            self.keys[lo : lo + len(x)] = x << 32 | y
+            self.values[lo : lo + len(x)] = log_ratio(np.maximum(columns(t, "a", "b") - DISCOUNT, 0) / np.maximum(behind[x], 1) + rest[x] * p[y])
+        order = np.argsort(self.keys)
+        self.keys, self.values = self.keys[order], self.values[order]
 
 
 class Scorer(dict):
-    """word -> its row in `ratio` (log ratio of P(w)) and `behind` (what it adds to the next word's if the pair is unknown).
-
-    The model's words have the first rows; others get one as they are met, at most LIMIT at a time.
-    """
+    """word -> its row in the model. Words that the model hasn't get the row of their first letters; at most LIMIT of them are kept."""
 
     LIMIT = 300_000
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.starts = {w: len(model.words) + i for i, w in enumerate(model.starts.to_pylist())}
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.ratio, self.behind = np.zeros(1 << 16), np.zeros(1 << 16)
-        for w in self.model.rows:
-            self.__missing__(w)
+        self.update(zip(self.model.words.to_pylist(), range(len(self.model.words)), strict=True))
 
     def __missing__(self, w: str) -> int:
-        i = self[w] = len(self)
-        if i == len(self.ratio):
-            self.ratio, self.behind = np.concatenate([self.ratio, np.zeros(i)]), np.concatenate([self.behind, np.zeros(i)])
-        a, b = self.model.word(w)
-        self.ratio[i] = math.log(a / b)
-        if c := self.model.context.get(w):
-            self.behind[i] = math.log(c[2] / c[0] / (c[3] / c[1]))
+        i = self[w] = self.starts.get(w[:PREFIX], len(self.model.ratio) - 1)
         return i
 
     def evidence(self, text: str | None) -> tuple[float, float, float]:
@@ -131,21 +131,22 @@ class Scorer(dict):
         words = words_of((text or "").lower())
         if not words:
             return 0.0, 0.0, 0.0
-        if len(self) > self.LIMIT:
+        m = self.model
+        if len(self) > len(m.words) + self.LIMIT:
             self.reset()
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        alone = self.ratio[ids]
+        alone = m.ratio[ids]
         k = min(STRONGEST, len(alone))
         strongest = float(np.partition(alone, len(alone) - k)[len(alone) - k :].sum()) / STRONGEST
         total = float(alone.sum())
         if len(ids) > 1:
-            total += float(self.behind[ids[:-1]].sum())
-            if len(self.model.keys):
+            total += float(m.behind[ids[:-1]].sum())
+            if len(m.keys):
                 keys = ids[:-1] << 32 | ids[1:]
-                at = np.searchsorted(self.model.keys, keys)
-                at[at == len(self.model.keys)] = 0
-                hit = np.flatnonzero(self.model.keys[at] == keys)
-                total += float((self.model.values[at[hit]] - alone[hit + 1] - self.behind[ids[hit]]).sum())
+                at = np.searchsorted(m.keys, keys)
+                at[at == len(m.keys)] = 0
+                hit = np.flatnonzero(m.keys[at] == keys)
+                total += float((m.values[at[hit]] - alone[hit + 1] - m.behind[ids[hit]]).sum())
         return total / len(words), strongest, math.log1p(len(words))
 
 
@@ -205,28 +206,15 @@ def _pairs(sample: DataFrame) -> DataFrame:
 
 
 def _model(pairs: DataFrame, shared: np.ndarray) -> Model:
-    p = pairs.groupBy("before", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    p = staged(pairs.groupBy("before", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-model")
     one = lambda c: F.sum((F.col(c) > 0).cast("long"))
-
-    def most(df: DataFrame, key: list[str], size: str) -> list[tuple]:
-        t = df.orderBy(F.desc(size), *key).limit(MAX_ENTRIES).drop(size).toArrow()
-        return list(zip(*(c.to_pylist() for c in t.columns), strict=True))
-
-    words = p.groupBy("word").agg(one("a").alias("a"), one("b").alias("b"))
-    prefix = words.groupBy(F.substring("word", 1, PREFIX).alias("p")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    context = p.groupBy("before").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), one("a").alias("c"), one("b").alias("d")).where("a > 0 and b > 0")
-    t = words.agg(F.sum("a"), F.sum("b"), one("a"), one("b")).first()
-    tp = prefix.agg(one("a"), one("b")).first()
-    totals = {"sums": (t[0] or 0, t[1] or 0), "types": (t[2] or 0, t[3] or 0), "prefixes": (tp[0] or 0, tp[1] or 0)}
-    size = F.col("a") + F.col("b")
-    return Model(
-        {w: n for w, *n in most(words.where(size > 1).withColumn("s", size), ["word"], "s")},
-        {w: n for w, *n in most(prefix.withColumn("s", size), ["p"], "s")},
-        {w: n for w, *n in most(context.withColumn("s", size), ["before"], "s")},
-        {(x, y): n for x, y, *n in most(p.where("a > 1 or b > 1").withColumn("s", size), ["before", "word"], "s")},
-        totals,
-        shared,
-    )
+    words = p.groupBy("word").agg(one("a").alias("a"), one("b").alias("b")).select("word", F.xxhash64("word").alias("h"), "a", "b").toArrow()
+    inner = p.where("before <> ''")  # a text's first word is scored by itself
+    context = inner.groupBy("before").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), one("a").alias("c"), one("b").alias("d"))
+    context = context.select(F.xxhash64("before").alias("h"), "a", "b", "c", "d").toArrow()
+    known = inner.select(F.xxhash64("before").alias("x"), F.xxhash64("word").alias("y"), F.col("a").cast("int"), F.col("b").cast("int")).toArrow()
+    cells = np.array([bucket(w) for w in words.column("word").to_pylist()], np.int64)
+    return Model(words, context, known, (shared[cells] + 1) / (shared.sum() + BUCKETS))
 
 
 def stands_for(labels: DataFrame, per_class: int = PER_CLASS) -> dict[int, float]:

@@ -381,3 +381,23 @@ def test_curve_keeps_the_share_of_toxic_rows(spark):
     marks = labels(spark, [(i, 1, int(i % 9 == 0)) for i in range(900)])
     n = {t: sum(zlib.crc32(str(i).encode()) % 3 != 1 and (i % 9 == 0) == t for i in range(900)) for t in (0, 1)}
     assert toxic.stands_for(marks, 100) == {0: n[0] / 100, 1: 1.0}
+
+
+@pytest.mark.parametrize("phrase", ["limba tornit", "vornix vornax"])
+def test_a_fixed_phrase_of_toxic_rows_counts(spark, phrase):
+    """Its second word always follows the first, which ordinary rows have or haven't; other words share its first letters."""
+    r = random.Random(5)
+    plain = [f"{a}{b}" for a in ("torn", "limb", "vorn", "sent", "padd") for b in ("a", "en", "is", "o", "ux", "eth")]
+    rows, marks = [], []
+    for i in range(900):
+        w = [r.choice(plain) for _ in range(r.randint(8, 30))]
+        if i % 6 == 0:
+            w.insert(r.randrange(len(w)), phrase)
+        rows.append((i, " ".join(w), "s"))
+        marks.append((i, 1, int(i % 6 == 0)))
+    model, _ = toxic.train(documents(spark, rows), labels(spark, marks))
+    score = toxic.Scorer(model)
+    a, b = phrase.split()
+    assert score[a] << 32 | score[b] in set(model.keys.tolist())
+    out = toxic.score(documents(spark, rows), labels(spark, marks)).where("held_out").collect()
+    assert sum(x.predicted != marks[x.doc_id][2] for x in out) <= 0.02 * len(out)
