@@ -7,7 +7,8 @@ normalised by length, over the whole text and over its strongest words; a logist
 labelled documents turns it into a score.
 
 Bounds: the labelled sample is at most PER_CLASS documents a class (those with the least hash of doc_id); all its words
-and pairs go to every task, as arrays. Shared counts come from every document, in BUCKETS hashed cells.
+and pairs go to every task, as arrays. The sample's words are counted in every document, exactly; other words need no
+shared count, as it cancels out of their ratio.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.worker import held
 from chunkloom.storage import staged
 
-PER_CLASS, BUCKETS = 4096, 1 << 20
+PER_CLASS = 4096
 DISCOUNT, PREFIX, STRONGEST = 0.75, 4, 2
 THRESHOLD, MISFIT = 0.7, 0.97
 EVIDENCE = ("mean", "strongest", "length")
@@ -40,26 +40,6 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def bucket(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) % BUCKETS
-
-
-class Buckets(dict):
-    """word -> cell, kept for at most LIMIT words."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        got = self[word] = bucket(word)
-        return got
-
-
-def _buckets() -> Buckets:
-    return held("cells", Buckets)
-
-
 class Model:
     """Both classes' models as rows: the sample's words, then their first letters, last all other words.
 
@@ -167,24 +147,29 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return best(0).unionByName(best(1))
 
 
-def _shared_counts(docs: DataFrame) -> np.ndarray:
-    """Words of all documents, counted in hashed cells; each task sends its cells that aren't empty."""
+def _shared_counts(docs: DataFrame, words: pa.Array) -> np.ndarray:
+    """How often each of `words` is in all documents, then how many tokens these have; a task sends what isn't zero."""
+    name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, known = np.zeros(BUCKETS, np.int64), _buckets()
+        known = held(("shared", name), lambda: {w: i for i, w in enumerate(sent.value.to_pylist())}).get
+        n = len(sent.value)
+        counts = np.zeros(n + 1, np.int64)  # the last: words that aren't among them
         for b in batches:
             for t in b.column(0):
-                words = words_of((t.as_py() or "").lower())
-                if len(words) > 50_000:
-                    cells += np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=BUCKETS)
+                found = words_of((t.as_py() or "").lower())
+                at = np.fromiter((known(w, n) for w in found), np.int64, len(found))
+                if len(found) > n // 16:
+                    counts += np.bincount(at, minlength=n + 1)
                 else:
-                    np.add.at(cells, np.fromiter(map(known.__getitem__, words), np.int64, len(words)), 1)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
-
-    out = np.zeros(BUCKETS)
-    got = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+                    np.add.at(counts, at, 1)
+        counts[n] = counts.sum()
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["word", "n"])
+
+    out = np.zeros(len(words) + 1)
+    got = docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("word").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
@@ -205,7 +190,7 @@ def _pairs(sample: DataFrame) -> DataFrame:
     return got.groupBy("fold", "before", "word").agg(*(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((1, "a"), (0, "b"))))
 
 
-def _model(pairs: DataFrame, shared: np.ndarray) -> Model:
+def _model(pairs: DataFrame, known_words: pa.Array, shared: np.ndarray) -> Model:
     p = staged(pairs.groupBy("before", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-model")
     one = lambda c: F.sum((F.col(c) > 0).cast("long"))
     words = p.groupBy("word").agg(one("a").alias("a"), one("b").alias("b")).select("word", F.xxhash64("word").alias("h"), "a", "b").toArrow()
@@ -213,8 +198,8 @@ def _model(pairs: DataFrame, shared: np.ndarray) -> Model:
     context = inner.groupBy("before").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), one("a").alias("c"), one("b").alias("d"))
     context = context.select(F.xxhash64("before").alias("h"), "a", "b", "c", "d").toArrow()
     known = inner.select(F.xxhash64("before").alias("x"), F.xxhash64("word").alias("y"), F.col("a").cast("int"), F.col("b").cast("int")).toArrow()
-    cells = np.array([bucket(w) for w in words.column("word").to_pylist()], np.int64)
-    return Model(words, context, known, (shared[cells] + 1) / (shared.sum() + BUCKETS))
+    at = pc.index_in(words.column("word").combine_chunks(), value_set=known_words).to_numpy(zero_copy_only=False)
+    return Model(words, context, known, shared[at] / max(1.0, shared[-1]))
 
 
 def stands_for(labels: DataFrame, per_class: int = PER_CLASS) -> dict[int, float]:
@@ -278,12 +263,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     spark = docs.sparkSession
     sample = labelled(docs, labels, per_class)  # at most 2 * per_class short rows, so it may be broadcast
     text = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "fold"), "toxic-sample")
-    shared, pairs = _shared_counts(docs), staged(_pairs(text), "toxic-pairs")
-    first = spark.sparkContext.broadcast(_model(pairs.where("fold = 0"), shared))
+    pairs = staged(_pairs(text), "toxic-pairs")
+    words = pairs.select("word").distinct().toArrow().column("word").combine_chunks()
+    shared = _shared_counts(docs, words)
+    first = spark.sparkContext.broadcast(_model(pairs.where("fold = 0"), words, shared))
     seen = evidence(text.where("fold = 2"), first, "toxic").toArrow()  # bounded by the sample
     x = np.column_stack([seen.column(k).to_numpy() for k in EVIDENCE])
     weights = curve(x, seen.column("toxic").to_numpy().astype(float), stands_for(labels, per_class)) if seen.num_rows else np.zeros(len(EVIDENCE) + 1)
-    return _model(pairs, shared), weights
+    return _model(pairs, words, shared), weights
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,9 +389,10 @@ def test_a_fixed_phrase_of_toxic_rows_counts(spark, phrase):
     """Its second word always follows the first, which ordinary rows have or haven't; other words share its first letters."""
     r = random.Random(5)
     plain = [f"{a}{b}" for a in ("torn", "limb", "vorn", "sent", "padd") for b in ("a", "en", "is", "o", "ux", "eth")]
+    other = [f"{a}{b}{c}" for a in "bdgklm" for b in ("ar", "el", "in", "os", "um") for c in ("ta", "ne", "ri", "so", "lu", "ke", "da", "pi")]
     rows, marks = [], []
     for i in range(900):
-        w = [r.choice(plain) for _ in range(r.randint(8, 30))]
+        w = [r.choice(plain if r.random() < 0.3 else other) for _ in range(r.randint(8, 30))]
         if i % 6 == 0:
             w.insert(r.randrange(len(w)), phrase)
         rows.append((i, " ".join(w), "s"))
@@ -400,4 +402,18 @@ def test_a_fixed_phrase_of_toxic_rows_counts(spark, phrase):
     a, b = phrase.split()
     assert score[a] << 32 | score[b] in set(model.keys.tolist())
     out = toxic.score(documents(spark, rows), labels(spark, marks)).where("held_out").collect()
-    assert sum(x.predicted != marks[x.doc_id][2] for x in out) <= 0.02 * len(out)
+    above, below = ([x.score for x in out if marks[x.doc_id][2] == y] for y in (1, 0))
+    assert np.mean([x > y for x in above for y in below]) >= 0.98
+
+
+def test_words_are_counted_exactly(spark):
+    """However many other words the documents have: none of them adds to a word of the sample."""
+    rows = [(i, "Nitwit nitwit, lim." if i % 2 else "lim " + " ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + i // 26)}" for j in range(600)), "s") for i in range(400)]
+    marks = [(i, 1, i % 2) for i in range(40)]
+    d = documents(spark, rows).repartition(3)
+    words = pa.array(["nitwit", "lim", "absent"])
+    total = sum(len(toxic.words_of(t)) for _, t, _ in rows)
+    assert toxic._shared_counts(d, words).tolist() == [400, 400, 0, total]
+    assert toxic._shared_counts(documents(spark, []), words).tolist() == [0] * 4
+    model, _ = toxic.train(d, labels(spark, marks))
+    assert not hasattr(model, "shared") and model.ratio[toxic.Scorer(model)["nitwit"]] > 1
