@@ -199,3 +199,20 @@ def test_sequences_follow_the_position(spark):
     assert len(order) == sum(map(len, places.values()))
     at = [places[i].pop(0) for i in order]
     assert at == sorted(at)
+
+
+def test_each_layout_of_a_host_has_its_wrapper(spark):
+    """A rare layout shares the path of the common one, which holds a teaser there; one host has copies and a template line."""
+    say = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    common = lambda i: f'<div class="content"><h1>t{i}</h1><p>{say(i, 30)}<p>{say(-i, 9)}</div>'
+    rare = lambda i: f'<div class="content"><p>teaser {i}</div><div class="story"><p>{say(i, 40)}<p>{say(-i, 8)}</div>'
+    rows = [(i, f"http://a.net/{i}", rare(i) if i % 20 == 7 else common(i)) for i in range(100)]
+    rows += [(200 + i, f"http://b.net/{i}", f'<div class="content"><h1>Heading</h1><p>{say(1, 20)}<p>{say(2, 9)}</div>') for i in range(30)]
+    rows += [(300 + i, f"http://c.net/{i}", f'<div class="content"><h2>Template</h2><h1>t{i}</h1><p>{say(i, 20)}<p>{say(-i, 9)}</div>') for i in range(30)]
+    rows += [(400, "http://a.net/400", f"<article><p>{say(400, 3)}</article>{common(400)}")]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(100):
+        assert out[i] == "\n".join((say(i, 40), say(-i, 8)) if i % 20 == 7 else (f"t{i}", say(i, 30), say(-i, 9)))
+    assert {out[200 + i] for i in range(30)} == {"\n".join(("Heading", say(1, 20), say(2, 9)))}
+    assert all(out[300 + i] == "\n".join((f"t{i}", say(i, 20), say(-i, 9))) for i in range(30))
+    assert out[400] == say(400, 3)
