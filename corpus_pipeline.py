@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows under one id are one document, of which the first by its columns stays. Rows with a null id all stay.
     """
     docs = docs.select(*COLUMNS)
-    copies = jaccard.join(docs, SHINGLE_WORDS, SIMILARITY).where("component_id <> doc_id").select("doc_id").distinct()
+    copies = jaccard.join(docs, SHINGLE_WORDS, SIMILARITY, all_links=False).where("component_id <> doc_id").select("doc_id").distinct()
     rest = docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
     again = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated-ids")
     if again.isEmpty():

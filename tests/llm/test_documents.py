@@ -417,3 +417,24 @@ def test_words_are_counted_exactly(spark):
     assert toxic._shared_counts(documents(spark, []), words).tolist() == [0] * 4
     model, _ = toxic.train(d, labels(spark, marks))
     assert not hasattr(model, "shared") and model.ratio[toxic.Scorer(model)["nitwit"]] > 1
+
+
+@pytest.mark.parametrize("block", [8, 2048])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    """Against brute force over classes of equal sets; without the links the components are the same."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, x, "s") for i, x in enumerate(near(4)[:200])]
+    rows += [(1000 + i, " ".join(["y" + str(i % 30) if j == 7 * (i % 8) else w for j, w in enumerate(base)]) if i else " ".join(base), "s") for i in range(40)]
+    rows += [(2000 + i, rows[r.randrange(200)][1], "s") for i in range(20)]
+    sets = {}
+    for i, x, _ in rows:
+        w = [z.lower() for z in WORD(x)]
+        sets[i] = frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    classes = set(sets.values()) - {frozenset()}
+    links = {a: sum(a != b and 100 * len(a & b) >= 85 * len(a | b) for b in classes) for a in classes}
+    got = jaccard.join(documents(spark, rows)).collect()
+    assert {x.doc_id: x.n_links for x in got} == {i: links.get(x, 0) for i, x in sets.items()}
+    if block == 8:
+        assert {x.doc_id: x.component_id for x in jaccard.join(documents(spark, rows), all_links=False).collect()} == {x.doc_id: x.component_id for x in got}
