@@ -67,44 +67,41 @@ class Encoder(dict):
     White space separates what the tokenizer looks at, so words are independent. Words of letters below U+0250 need no
     normalisation but lower case: they are split here and only the merges are the tokenizer's. All others, and texts
     with control characters that Python alone takes for white space, go to the tokenizer whole. Two generations of at
-    most CACHE words each bound the memory and keep frequent words.
+    most CACHE words each, and none of over LONG characters, bound the memory and keep frequent words.
     """
 
-    CACHE = 500_000
+    CACHE, LONG = 200_000, 64
     ODD = re.compile("[\x1c-\x1f]")
     PLAIN = re.compile("[\x21-\u012f\u0131-\u024f]+")
 
     def __init__(self, path: str):
         super().__init__()
         self.t = tokenizer(path)
-        self.merge, self.older, self.pieces = self.t.model.tokenize, {}, {}
+        self.merge, self.older = self.t.model.tokenize, {}
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.letters = byte_alphabet()
 
-    def piece(self, x: str) -> bytes:
-        if (got := self.pieces.get(x)) is None:
-            if len(self.pieces) >= self.CACHE:
-                self.pieces.clear()
-            text = x if x.isascii() else "".join([self.letters[b] for b in x.encode()])
-            got = self.pieces[x] = array("I", [t.id for t in self.merge(text)]).tobytes()
-        return got
+    def whole(self, x: str) -> bytes:
+        """Of what the tokenizer merges as one; of the printable ASCII characters each stands for itself."""
+        text = x if x.isascii() and x.isprintable() else "".join([self.letters[b] for b in x.encode()])
+        return array("I", [t.id for t in self.merge(text)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.CACHE:
-            self.older = dict(self)
-            self.clear()
         if (got := self.older.get(word)) is None:
             if "<|" in word or not self.PLAIN.fullmatch(word):
                 got = array("I", self.t.encode(word, add_special_tokens=False).ids).tobytes()
+            elif (low := word.lower()).isalpha():
+                got = self.whole(low) if low == word else self[low]
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                got = self[low[:-1]] + self[low[-1]]
             else:
-                low = word.lower()
-                if low.isalpha():
-                    got = self.piece(low)
-                elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                    got = self.piece(low[:-1]) + self.piece(low[-1])
-                else:
-                    got = b"".join([self.piece(x) for x in self.split(low)])
-        self[word] = got
+                parts = self.split(low)
+                got = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.whole(low)
+        if len(word) <= self.LONG:
+            if len(self) >= self.CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:

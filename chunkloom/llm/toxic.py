@@ -1,10 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Word-pair counts of toxic and of ordinary labelled documents give two interpolated Kneser-Ney models. Both back off from
-word pairs to words (by the number of different words before them), to words' first letters, and last to counts that the
-classes share: those of all documents of the corpus. A document's evidence is the difference of its two log-likelihoods,
-normalised by length, over the whole text and over its strongest words; a logistic curve fitted across two folds of the
-labelled documents turns it into a score.
+Word-pair counts of toxic and of ordinary labelled documents give two interpolated Kneser-Ney models over the words of all
+documents. Both back off from word pairs to words (by the number of different words before them), and from these to
+counts that the classes share: those of all documents of the corpus. Nothing is pruned, so either model's probabilities
+add up to 1. A toxic document is ordinary prose in which the share MIXED of the words comes from the toxic model, so its
+likelihood is that of the mixture. Compared are the two length-normalised log-likelihoods: the log of their difference and
+the log of the length give a score by a logistic curve. The curve is fitted on one fold of the labelled documents as the
+other fold's models see it, and allows for wrong labels, whose rates expectation-maximisation estimates.
+
+DISCOUNT and MIXED were chosen by the same cross-fit, on labelled documents outside the held-out third. A discount of 3
+leaves what was seen three times or less in a class to the shared counts.
 
 Bounds: the labelled sample is at most PER_CLASS documents a class (those with the least hash of doc_id); all its words
 and pairs go to every task, as arrays. The sample's words are counted in every document, exactly; other words need no
@@ -16,12 +21,11 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +33,9 @@ from chunkloom.llm.worker import held
 from chunkloom.storage import staged
 
 PER_CLASS = 4096
-DISCOUNT, PREFIX, STRONGEST = 0.75, 4, 2
-THRESHOLD, MISFIT = 0.7, 0.97
-EVIDENCE = ("mean", "strongest", "length")
+DISCOUNT, MIXED, LEAST = 3.0, 0.001, 1e-4
+THRESHOLD = 0.7
+EVIDENCE = ("excess", "length")
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
@@ -40,94 +44,58 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
+def pair_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The key of a pair by its words' hashes, as `_model` makes it."""
+    return x ^ (y << 1)
+
+
 class Model:
-    """Both classes' models as rows: the sample's words, then their first letters, last all other words.
+    """Both classes' models as log ratios, toxic to ordinary.
 
-    ratio: log ratio (toxic to ordinary) of P(w); behind: what a word adds to the next one's if the pair is unknown; keys and
-    values: pairs of rows and the log ratio of P(w | before).
-    words: word, h (its hash), different words before it in either class (a, b); context: h, tokens behind the word (a, b) and
-    different words behind it (c, d); pairs: hashes x and y, counts (a, b); share: each word's part of all tokens.
+    words; h, ratio, behind: their hashes, the ratio of P(w), and what a word adds to the next one's ratio if the pair is
+    unknown; keys and values: known pairs and the ratio of P(w | before). unknown: the ratio of words of neither class, which
+    comes from the classes' sizes alone and is taken off all others, so such a word speaks for neither.
     """
 
-    CHUNK = 1 << 18
-
-    def __init__(self, words: pa.Table, context: pa.Table, pairs: pa.Table, share: np.ndarray):
+    def __init__(self, words: pa.Table, pairs: pa.Table, unknown: float):
         self.name = uuid.uuid4().hex
-        columns = lambda t, *names: np.column_stack([t.column(c).to_numpy() for c in names]).astype(np.float64)
+        column = lambda c, last: np.append(words.column(c).to_numpy(), last)
         self.words = words.column("word").combine_chunks()
-        counts, h = columns(words, "a", "b"), words.column("h").to_numpy()
-        order = np.argsort(h)
-        if len(h) and not np.diff(h[order]).all():
-            raise ValueError("two words with one hash")
-        row = lambda x: order[np.searchsorted(h, x, sorter=order)]
-        coded = pc.utf8_slice_codeunits(self.words, 0, PREFIX).dictionary_encode()
-        self.starts, of = coded.dictionary, coded.indices.to_numpy()
-        by = np.column_stack([np.bincount(of, counts[:, c], len(self.starts) + 1) for c in (0, 1)])  # the last: none of them
-        total = lambda x: np.maximum(x.sum(axis=0), 1)
-        sums, types = total(counts), total(counts > 0)
-        back = (np.maximum(by - DISCOUNT, 0) + DISCOUNT * total(by > 0) / max(1, len(self.starts))) / sums
-        either = np.maximum(by.sum(axis=1), 1) / sums.sum()
-        # P(w): discounted continuation counts, then first letters, then shared counts; these cancel out for words of neither class
-        p = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * types * back[of] * (share / either[of])[:, None]) / sums
-        log_ratio = lambda x: np.log(x[:, 0] / x[:, 1])
-        self.ratio = np.concatenate([log_ratio(p), log_ratio(types * back / sums)])
-        behind, kinds = np.zeros_like(p), np.zeros_like(p)
-        at = row(context.column("h").to_numpy())
-        behind[at], kinds[at] = columns(context, "a", "b"), columns(context, "c", "d")
-        rest = np.where(behind > 0, DISCOUNT * kinds / np.maximum(behind, 1), 1.0)  # a class without the context backs off whole
-        self.behind = np.concatenate([log_ratio(rest), np.zeros(len(by))])
-        self.keys, self.values = np.zeros(pairs.num_rows, np.int64), np.zeros(pairs.num_rows)
-        for lo in range(0, pairs.num_rows, self.CHUNK):
-            t = pairs.slice(lo, self.CHUNK)
-            x, y = row(t.column("x").to_numpy()), row(t.column("y").to_numpy())
-            self.keys[lo : lo + len(x)] = x << 32 | y
-            self.values[lo : lo + len(x)] = log_ratio(np.maximum(columns(t, "a", "b") - DISCOUNT, 0) / np.maximum(behind[x], 1) + rest[x] * p[y])
-        order = np.argsort(self.keys)
-        self.keys, self.values = self.keys[order], self.values[order]
-
-
-class Scorer(dict):
-    """word -> its row in the model. Words that the model hasn't get the row of their first letters; at most LIMIT of them are kept."""
-
-    LIMIT = 300_000
+        self.unknown = unknown
+        self.h, self.ratio, self.behind = column("h", 0), column("ratio", unknown) - unknown, column("behind", 0.0)
+        keys = pairs.column("key").to_numpy()
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], pairs.column("value").to_numpy()[order] - unknown
+
 
+class Scorer:
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-        self.starts = {w: len(model.words) + i for i, w in enumerate(model.starts.to_pylist())}
-        self.reset()
+        self.place = {w.as_py(): i for i, w in enumerate(model.words)}.get
 
-    def reset(self) -> None:
-        self.clear()
-        self.update(zip(self.model.words.to_pylist(), range(len(self.model.words)), strict=True))
-
-    def __missing__(self, w: str) -> int:
-        i = self[w] = self.starts.get(w[:PREFIX], len(self.model.ratio) - 1)
-        return i
-
-    def evidence(self, text: str | None) -> tuple[float, float, float]:
-        """Log-likelihood ratio a word: of the whole text by pairs, of its strongest words by themselves; and the log of the
-        length, as the strongest of many words are stronger. Zeros without words."""
-        words = words_of((text or "").lower())
-        if not words:
-            return 0.0, 0.0, 0.0
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """Of each word's probability behind the word before it; the first word has none before it."""
         m = self.model
-        if len(self) > len(m.words) + self.LIMIT:
-            self.reset()
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        alone = m.ratio[ids]
-        k = min(STRONGEST, len(alone))
-        strongest = float(np.partition(alone, len(alone) - k)[len(alone) - k :].sum()) / STRONGEST
-        total = float(alone.sum())
-        if len(ids) > 1:
-            total += float(m.behind[ids[:-1]].sum())
-            if len(m.keys):
-                keys = ids[:-1] << 32 | ids[1:]
+        rows = np.fromiter(map(self.place, words, repeat(-1)), np.int64, len(words))
+        out = m.ratio[rows]
+        if len(rows) > 1:
+            out[1:] += m.behind[rows[:-1]]
+            both = np.flatnonzero((rows[:-1] >= 0) & (rows[1:] >= 0))
+            if len(both) and len(m.keys):
+                keys = pair_key(m.h[rows[both]], m.h[rows[both + 1]])
                 at = np.searchsorted(m.keys, keys)
                 at[at == len(m.keys)] = 0
                 hit = np.flatnonzero(m.keys[at] == keys)
-                total += float((m.values[at[hit]] - alone[hit + 1] - m.behind[ids[hit]]).sum())
-        return total / len(words), strongest, math.log1p(len(words))
+                out[both[hit] + 1] = m.values[at[hit]]
+        return out
+
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """Log of the difference of the length-normalised log-likelihoods (in units of MIXED, LEAST at least), and of the length."""
+        words = words_of((text or "").lower())
+        if not words:
+            return math.log(LEAST), 0.0
+        excess = float(np.log1p(MIXED * np.expm1(self.ratios(words))).sum()) / len(words)
+        return math.log(max(excess / MIXED, LEAST)), math.log1p(len(words))
 
 
 def scorer(model: Model) -> Scorer:
@@ -147,59 +115,78 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return best(0).unionByName(best(1))
 
 
-def _shared_counts(docs: DataFrame, words: pa.Array) -> np.ndarray:
-    """How often each of `words` is in all documents, then how many tokens these have; a task sends what isn't zero."""
+def shared_counts(docs: DataFrame, words: pa.Array) -> DataFrame:
+    """word, n: how often each of `words` is in all documents; the row with a null word has the number of all their tokens. A task sends what isn't zero."""
     name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held(("shared", name), lambda: {w: i for i, w in enumerate(sent.value.to_pylist())}).get
+        place = held(("shared", name), lambda: {w.as_py(): i for i, w in enumerate(sent.value)}).get
         n = len(sent.value)
         counts = np.zeros(n + 1, np.int64)  # the last: words that aren't among them
         for b in batches:
             for t in b.column(0):
                 found = words_of((t.as_py() or "").lower())
-                at = np.fromiter((known(w, n) for w in found), np.int64, len(found))
+                at = np.fromiter(map(place, found, repeat(n)), np.int64, len(found))
                 if len(found) > n // 16:
                     counts += np.bincount(at, minlength=n + 1)
                 else:
                     np.add.at(counts, at, 1)
         counts[n] = counts.sum()
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["word", "n"])
+        every = pa.concat_arrays([sent.value.cast(pa.string()), pa.nulls(1, pa.string())])
+        yield pa.RecordBatch.from_arrays([every.take(pa.array(at)), pa.array(counts[at])], names=["word", "n"])
 
-    out = np.zeros(len(words) + 1)
-    got = docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    out[got.column("word").to_numpy()] = got.column("n").to_numpy()
-    return out
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pairs(sample: DataFrame) -> DataFrame:
-    """fold, before, word, and how often the pair is in toxic and in ordinary documents."""
+def _triples(sample: DataFrame) -> DataFrame:
+    """fold, earlier, before, word, and whether toxic (a) and ordinary (b) documents have these three in a row. "" stands before a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: Counter = Counter()
+            seen: set = set()
             for t, y, f in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = words_of((t or "").lower())
-                counts.update((f, y, *p) for p in zip(["", *words], words, strict=False))
-            cols = list(zip(*counts, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, x) for c, x in zip(cols, types, strict=True)), pa.array(list(counts.values()), pa.int64())], names=["fold", "toxic", "before", "word", "n"])
+                seen.update((f, y, *x) for x in zip(["", "", *words], ["", *words], words, strict=False))
+            cols = list(zip(*seen, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["fold", "toxic", "earlier", "before", "word"])
 
-    got = sample.select("text", F.col("toxic").cast("long"), F.col("fold").cast("long")).mapInArrow(run, "fold long, toxic long, before string, word string, n long")
-    return got.groupBy("fold", "before", "word").agg(*(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((1, "a"), (0, "b"))))
+    got = sample.select("text", F.col("toxic").cast("long"), F.col("fold").cast("long")).mapInArrow(run, "fold long, toxic long, earlier string, before string, word string")
+    return got.groupBy("fold", "earlier", "before", "word").agg(F.max(F.col("toxic")).alias("a"), F.max(1 - F.col("toxic")).alias("b"))
 
 
-def _model(pairs: DataFrame, known_words: pa.Array, shared: np.ndarray) -> Model:
-    p = staged(pairs.groupBy("before", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-model")
-    one = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    words = p.groupBy("word").agg(one("a").alias("a"), one("b").alias("b")).select("word", F.xxhash64("word").alias("h"), "a", "b").toArrow()
-    inner = p.where("before <> ''")  # a text's first word is scored by itself
-    context = inner.groupBy("before").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), one("a").alias("c"), one("b").alias("d"))
-    context = context.select(F.xxhash64("before").alias("h"), "a", "b", "c", "d").toArrow()
-    known = inner.select(F.xxhash64("before").alias("x"), F.xxhash64("word").alias("y"), F.col("a").cast("int"), F.col("b").cast("int")).toArrow()
-    at = pc.index_in(words.column("word").combine_chunks(), value_set=known_words).to_numpy(zero_copy_only=False)
-    return Model(words, context, known, shared[at] / max(1.0, shared[-1]))
+def _model(triples: DataFrame, shared: DataFrame) -> Model:
+    """The models of these triples. a, b: the toxic and the ordinary class. c(v w): the different words before the pair, so that
+    copies and repeated lines count once.
+
+    P(w) = (max(N(w) - D, 0) + M share(w)) / S over N(w), the different words before w, their sum S and the discounted mass
+    M, the sum of min(N, D); P(w | v) = (max(c(v w) - D, 0) + m(v) P(w)) / c(v) over the pairs' counts behind v and their
+    discounted mass m(v).
+    """
+    once = triples.groupBy("earlier", "before", "word").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    p = staged(once.groupBy("before", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-model")
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    taken = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(float(DISCOUNT))))
+    left = lambda c: F.greatest(F.col(c) - float(DISCOUNT), F.lit(0.0))
+    tokens = shared.where("word is null").agg(F.max("n")).first()[0] or 1
+    words = p.groupBy("word").agg(kinds("a").alias("na"), kinds("b").alias("nb")).join(shared.withColumnRenamed("n", "shared"), "word")
+    words = staged(words.select("word", F.xxhash64("word").alias("h"), "na", "nb", (F.col("shared") / float(tokens)).alias("share")), "toxic-words")
+    total = words.agg(*(F.sum(f"n{c}").alias(f"s{c}") for c in "ab"), *(taken(f"n{c}").alias(f"m{c}") for c in "ab")).first()
+    s = {c: float(total[f"s{c}"] or 1) for c in "ab"}
+    m = {c: float(total[f"m{c}"] or 1) for c in "ab"}  # a class without words backs off whole
+    inner = p.where("before <> ''")
+    behind = inner.groupBy(F.col("before").alias("word")).agg(*(F.sum(c).alias(f"c{c}") for c in "ab"), *(taken(c).alias(f"m{c}") for c in "ab"))
+    alone = lambda c: (left(f"n{c}") + m[c] * F.col("share")) / s[c]
+    rest = lambda c: F.when(F.col(f"c{c}") > 0, F.col(f"m{c}") / F.col(f"c{c}")).otherwise(1.0)
+    words = words.select("word", "h", *(alone(c).alias(f"p{c}") for c in "ab")).join(behind, "word", "left")
+    words = staged(words.select("word", "h", "pa", "pb", *(rest(c).alias(f"r{c}") for c in "ab"), *(F.greatest(F.coalesce(f"c{c}", F.lit(0)), F.lit(1)).alias(f"c{c}") for c in "ab")), "toxic-words")
+    before = words.select(F.col("word").alias("before"), F.col("h").alias("x"), "ra", "rb", "ca", "cb")
+    known = inner.join(before, "before").join(words.select("word", F.col("h").alias("y"), "pa", "pb"), "word")
+    of = lambda c: left(c) / F.col(f"c{c}") + F.col(f"r{c}") * F.col(f"p{c}")
+    known = known.select(F.col("x").bitwiseXOR(F.shiftleft("y", 1)).alias("key"), F.log(of("a") / of("b")).alias("value"))
+    words = words.select("word", "h", F.log(F.col("pa") / F.col("pb")).alias("ratio"), F.log(F.col("ra") / F.col("rb")).alias("behind"))
+    return Model(words.toArrow(), known.toArrow(), math.log((m["a"] / s["a"]) / (m["b"] / s["b"])))
 
 
 def stands_for(labels: DataFrame, per_class: int = PER_CLASS) -> dict[int, float]:
@@ -207,11 +194,15 @@ def stands_for(labels: DataFrame, per_class: int = PER_CLASS) -> dict[int, float
     return {r["toxic"]: max(1.0, r["count"] / per_class) for r in trainable(labels).groupBy("toxic").count().collect()}
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, weight: np.ndarray | float = 1.0) -> np.ndarray:
-    """Weights (the last is the constant) by Newton's method. weight: of each row."""
+    """Weights (the last is the constant) by Newton's method. y: probabilities; weight: of each row."""
     a, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        p = _sigmoid(a @ w)
         step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (weight * (y - p)) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
@@ -219,18 +210,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50,
     return w
 
 
-def curve(x: np.ndarray, y: np.ndarray, stands: dict[int, float] | None = None) -> np.ndarray:
-    """Weights of the score. Some labels are wrong, and a few of them flatten the curve: it is fitted again without rows that the first fit contradicts by MISFIT.
+def curve(x: np.ndarray, y: np.ndarray, stands: dict[int, float] | None = None, rounds: int = 40) -> np.ndarray:
+    """Weights of the score: the probability that a document is toxic, not that it is labelled so.
 
+    Some labels are wrong, which would flatten the curve. Rates of either error and the curve are estimated in turn: a
+    row's probability to be toxic given its label and evidence, then the curve over these probabilities.
     stands: how many labelled rows a row of either class is one of. Rows weigh as much (1 on average), so the share of
     toxic rows is that of all labelled ones, whatever part of a class was sampled.
     """
     weight = np.array([(stands or {}).get(int(c), 1.0) for c in y])
     weight = weight / weight.mean()
-    first = logistic(x, y, weight=weight)
-    p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ first, -30, 30)))
-    fits = np.abs(y - p) < MISFIT
-    return logistic(x[fits], y[fits], 0.1, weight=weight[fits]) if len(set(y[fits])) == 2 else first
+    w = logistic(x, y, weight=weight)
+    wrong = {1: 0.02, 0: 0.02}  # of toxic rows labelled ordinary, of ordinary rows labelled toxic
+    for _ in range(rounds):
+        p = _sigmoid(np.column_stack([x, np.ones(len(x))]) @ w)
+        says = np.where(y == 1, 1 - wrong[1], wrong[1]), np.where(y == 1, wrong[0], 1 - wrong[0])
+        q = p * says[0] / (p * says[0] + (1 - p) * says[1])
+        bounded = lambda miss, of: float(np.clip((weight * miss).sum() / max(1e-9, (weight * of).sum()), 1e-4, 0.3))
+        wrong = {1: bounded(q * (y == 0), q), 0: bounded((1 - q) * (y == 1), 1 - q)}
+        new = logistic(x, q, 0.1, weight=weight)
+        done, w = np.abs(new - w).max() < 1e-6, new
+        if done:
+            break
+    return w
 
 
 def evidence(docs: DataFrame, sent, *keep: str) -> DataFrame:
@@ -259,24 +261,24 @@ def probability(w: np.ndarray) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, np.ndarray]:
-    """The model of the whole training sample, and the curve's weights, fitted on the second fold as the first fold's model sees it."""
+    """The models of the whole training sample, and the curve's weights, fitted on the second fold as the first fold's models see it."""
     spark = docs.sparkSession
     sample = labelled(docs, labels, per_class)  # at most 2 * per_class short rows, so it may be broadcast
     text = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "fold"), "toxic-sample")
-    pairs = staged(_pairs(text), "toxic-pairs")
-    words = pairs.select("word").distinct().toArrow().column("word").combine_chunks()
-    shared = _shared_counts(docs, words)
-    first = spark.sparkContext.broadcast(_model(pairs.where("fold = 0"), words, shared))
+    triples = staged(_triples(text), "toxic-triples")
+    shared = staged(shared_counts(docs, triples.select("word").distinct().toArrow().column("word").combine_chunks()), "toxic-shared")
+    first = spark.sparkContext.broadcast(_model(triples.where("fold = 0"), shared))
     seen = evidence(text.where("fold = 2"), first, "toxic").toArrow()  # bounded by the sample
+    first.destroy()
     x = np.column_stack([seen.column(k).to_numpy() for k in EVIDENCE])
     weights = curve(x, seen.column("toxic").to_numpy().astype(float), stands_for(labels, per_class)) if seen.num_rows else np.zeros(len(EVIDENCE) + 1)
-    return _model(pairs, words, shared), weights
+    return _model(triples, shared), weights
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted of every row.
 
-    Texts that are null, empty or without words have evidence 0; without labels every score is 0.5. Only the text is an
+    Texts that are null, empty or without words have the least evidence; without labels every score is 0.5. Only the text is an
     input of a score. Repeated rows get equal scores.
     """
     model, w = train(docs, labels, per_class)

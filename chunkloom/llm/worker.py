@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[Hashable, Any] = {}
 
 
@@ -18,6 +21,12 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def clear() -> None:
+    """Forgets what is kept, and gives memory that is free now back to the system where its library can."""
     if _held:
         _held.clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -398,9 +398,9 @@ def test_a_fixed_phrase_of_toxic_rows_counts(spark, phrase):
         rows.append((i, " ".join(w), "s"))
         marks.append((i, 1, int(i % 6 == 0)))
     model, _ = toxic.train(documents(spark, rows), labels(spark, marks))
-    score = toxic.Scorer(model)
-    a, b = phrase.split()
-    assert score[a] << 32 | score[b] in set(model.keys.tolist())
+    place = {w: i for i, w in enumerate(model.words.to_pylist())}
+    a, b = (model.h[place[w]] for w in phrase.split())
+    assert toxic.pair_key(a, b) in set(model.keys.tolist())
     out = toxic.score(documents(spark, rows), labels(spark, marks)).where("held_out").collect()
     above, below = ([x.score for x in out if marks[x.doc_id][2] == y] for y in (1, 0))
     assert np.mean([x > y for x in above for y in below]) >= 0.98
@@ -413,10 +413,61 @@ def test_words_are_counted_exactly(spark):
     d = documents(spark, rows).repartition(3)
     words = pa.array(["nitwit", "lim", "absent"])
     total = sum(len(toxic.words_of(t)) for _, t, _ in rows)
-    assert toxic._shared_counts(d, words).tolist() == [400, 400, 0, total]
-    assert toxic._shared_counts(documents(spark, []), words).tolist() == [0] * 4
-    model, _ = toxic.train(d, labels(spark, marks))
-    assert not hasattr(model, "shared") and model.ratio[toxic.Scorer(model)["nitwit"]] > 1
+    assert {r.word: r.n for r in toxic.shared_counts(d, words).collect()} == {"nitwit": 400, "lim": 400, None: total}
+    assert toxic.shared_counts(documents(spark, []), words).collect() == []
+
+
+def kneser_ney(texts, every):
+    """log P of a text's words by one class's model, plainly: texts are the class's, every those that the classes share."""
+    words = lambda t: toxic.words_of(t.lower())
+    share = defaultdict(int)
+    for t in every:
+        for w in words(t):
+            share[w] += 1
+    tokens = sum(share.values())
+    triples = {x for t in texts for x in zip(["", "", *words(t)], ["", *words(t)], words(t), strict=False)}
+    pair, before = defaultdict(int), defaultdict(set)
+    for _, v, w in triples:
+        pair[v, w] += 1
+        before[w].add(v)
+    types = sum(map(len, before.values()))
+    mass = sum(min(len(x), toxic.DISCOUNT) for x in before.values())
+    alone = lambda w: (max(len(before.get(w, ())) - toxic.DISCOUNT, 0) + mass * share[w] / tokens) / types
+
+    def p(v, w):
+        behind = {x: c for (u, x), c in pair.items() if u == v}
+        if v == "" or not behind:
+            return alone(w)
+        return (max(behind.get(w, 0) - toxic.DISCOUNT, 0) + sum(min(c, toxic.DISCOUNT) for c in behind.values()) * alone(w)) / sum(behind.values())
+
+    return p, set(share)
+
+
+def test_models_are_plain_kneser_ney(spark):
+    r = random.Random(12)
+    say = lambda n, of: " ".join(r.choice(of) for _ in range(n))
+    common, rude = [f"{a}{b}" for a in ("tor", "lim", "sen") for b in ("a", "en", "is", "o")], ["nitwit", "wretch", "dolt"]
+    rows = [(i, say(r.randint(1, 60), common + (rude if i % 4 == 0 else []) + [f"rare{r.choice('abcdefgh')}"]), "s") for i in range(240)]
+    marks = [(i, 1, int(i % 4 == 0)) for i in range(0, 240, 2)] + [(i, 1, 0) for i in range(1, 240, 4)]
+    d = documents(spark, rows)
+    model, w = toxic.train(d, labels(spark, marks))
+    known = {i: y for i, _, y in marks if zlib.crc32(str(i).encode()) % 3 != 1}
+    every = [t for _, t, _ in rows]
+    (a, vocabulary), (b, _) = (kneser_ney([rows[i][1] for i, y in known.items() if y == c], every) for c in (1, 0))
+    for v in ("", "tora", "nitwit", "neverseen"):  # nothing is pruned: either model's mass is 1
+        for p in (a, b):
+            assert abs(sum(p(v, x) for x in vocabulary) - 1) < 1e-9
+    score = toxic.Scorer(model)
+    for i in range(0, 240, 7):
+        words = toxic.words_of(rows[i][1].lower())
+        plain = [math.log(a(v, x) / b(v, x)) - model.unknown for v, x in zip(["", *words], words, strict=False)]
+        assert np.abs(score.ratios(words) - plain).max() < 1e-9
+        excess = sum(math.log(1 - toxic.MIXED + toxic.MIXED * math.exp(x)) for x in plain) / len(words)
+        assert abs(score.evidence(rows[i][1])[0] - math.log(max(excess / toxic.MIXED, toxic.LEAST))) < 1e-6
+    got = {x.doc_id: x.score for x in toxic.score(d, labels(spark, marks)).collect()}
+    for i in range(0, 240, 7):
+        x = score.evidence(rows[i][1])
+        assert abs(got[i] - 1 / (1 + math.exp(-(x[0] * w[0] + x[1] * w[1] + w[2])))) < 1e-9
 
 
 @pytest.mark.parametrize("block", [8, 2048])
