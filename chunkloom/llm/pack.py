@@ -1,13 +1,15 @@
 """Packing documents into fixed-length token sequences by order-preserving dynamic programming.
 
-The documents of a partition, in order, are one stream of tokens. A window may end at a document's end (free), at a
-sentence's end, or inside long runs without one at every STRIDE-th token (both at a penalty). The program chooses the
-windows of at most `window` tokens with the least padding plus penalties. Padding is linear in the window's length, so
-f(j) = window - P(j) + penalty(j) + min over reachable i of (f(i) + P(i)); the minimum over a sliding range comes from
-a monotone queue, and the whole is linear in the number of cuts. Windows whose length is a power of two need no padding.
+The documents of a partition, in order, are one stream of tokens. A window may end at a document's end (free), at any
+sentence's end (at a penalty), and, where a sentence is longer than STRIDE tokens, inside it at every STRIDE-th token: that
+truncates the sentence, at a higher penalty. The program chooses the windows of at most `window` tokens with the least
+padding plus penalties. Padding is linear in the window's length, so f(j) = window - P(j) + penalty(j) + min over
+reachable i of (f(i) + P(i)); the minimum over a sliding range comes from a monotone queue, and the whole is linear in the
+number of cuts. Windows whose length is a power of two need no padding.
 
 Every partition is packed on its own as its rows stream through, in blocks of BLOCK tokens, so nothing is shuffled and
-memory is bounded by a block and one document; the last window's tokens are carried on to the next block.
+memory is bounded by a block and one document; the last window's tokens are carried on to the next block. A partition's
+last window is truncated into powers of two if that costs less than its padding.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from chunkloom.llm.worker import held
 
-WINDOW, BLOCK, STRIDE, SPACING = 4096, 1 << 20, 256, 64
+WINDOW, BLOCK, STRIDE = 4096, 1 << 20, 256
 END_ID = 2
 SENTENCE_PENALTY, INNER_PENALTY = 4, 64
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
@@ -119,8 +121,6 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Positions (1..len) where a document, end id included, may be cut, and their penalties."""
     at = np.flatnonzero(ends[ids]) + 1
     at = at[at < len(ids)]
-    if len(at) > 1:  # one sentence end in SPACING tokens is choice enough
-        at = at[np.flatnonzero(np.diff(at // SPACING, prepend=-1))]
     whole = np.concatenate([[0], at, [len(ids)]])
     gaps = np.diff(whole)
     inner = [np.arange(whole[i] + STRIDE, whole[i + 1], STRIDE) for i in np.flatnonzero(gaps > STRIDE)]
@@ -133,26 +133,31 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def best_windows(points: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
     """Ends of the windows that cover 0..points[-1] at least padding plus penalty. No gap between points exceeds the window."""
-    p, pen = [0, *points.tolist()], [0, *cost.tolist()]
+    at = np.concatenate([[0], points])
+    short: dict[int, list[int]] = {}  # cuts from which a window of a power of two ends here
+    for b in range(6, window.bit_length()):
+        if 1 << b < window:
+            k = np.searchsorted(at, at - (1 << b))
+            for j in np.flatnonzero(at[k] == at - (1 << b)).tolist():
+                short.setdefault(j, []).append(int(k[j]))
+    p, pen = at.tolist(), [0, *cost.tolist()]
     n = len(p)
-    best, back = [0] * n, [0] * n
-    queue: deque[int] = deque([0])  # of cuts in reach, by f(i) + p[i] from the least
-    where = dict(zip(p, range(n), strict=True))
-    powers = [1 << b for b in range(6, window.bit_length()) if 1 << b < window]
+    best, back, key = [0] * n, [0] * n, [0] * n  # key: f + P
+    queue: deque[int] = deque([0])  # of cuts in reach, by key from the least
     for j in range(1, n):
-        at = p[j]
-        while at - p[queue[0]] > window:
+        x = p[j]
+        while x - p[queue[0]] > window:
             queue.popleft()
         i = queue[0]
-        least = best[i] + p[i] + window - at
-        if least > pen[i]:
-            for w in powers:
-                k = where.get(at - w)
-                if k is not None and best[k] + SENTENCE_PENALTY < least:  # a short sequence costs something, too
+        least = key[i] + window - x
+        if j in short:
+            for k in short[j]:
+                if best[k] + SENTENCE_PENALTY < least:  # a short sequence costs something, too
                     least, i = best[k] + SENTENCE_PENALTY, k
-        best[j], back[j] = least + pen[j], i
-        key = best[j] + at
-        while queue and best[queue[-1]] + p[queue[-1]] >= key:
+        best[j] = least = least + pen[j]
+        back[j], key[j] = i, least + x
+        least += x
+        while queue and key[queue[-1]] >= least:
             queue.pop()
         queue.append(j)
     ends, j = [], n - 1
@@ -162,8 +167,10 @@ def best_windows(points: np.ndarray, cost: np.ndarray, window: int = WINDOW) ->
     return ends[::-1]
 
 
-def tail_windows(length: int) -> list[int]:
-    """A partition's last stretch as powers of two, largest first, down to single tokens: no padding."""
+def tail_windows(length: int, window: int = WINDOW) -> list[int]:
+    """A partition's last window: powers of two, largest first and so without padding, if their cuts cost less than its padding."""
+    if (length.bit_count() - 1) * INNER_PENALTY >= window - length:
+        return [length]
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
@@ -194,8 +201,8 @@ class Packer:
         tail = ends[-1] - start
         if not last:
             ends.pop()
-        elif tail & (tail - 1):
-            ends[-1:] = (start + np.cumsum(tail_windows(tail))).tolist()
+        else:
+            ends[-1:] = (start + np.cumsum(tail_windows(tail, self.window))).tolist()
         d, done, at, kept = 0, 0, 0, self.docs
         for end in ends:
             offset = 0
@@ -214,8 +221,8 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone. Long documents are cut and go on in the next sequence. Repeated rows are
-    packed each on its own. sequence_id holds the partition in its upper bits, so a partition that is read again after a
+    Null and empty texts are the end id alone; null ids stay null. Long documents are cut and go on in the next sequence.
+    Repeated rows are packed each on its own; other columns are not read. sequence_id holds the partition in its upper bits, so a partition that is read again after a
     loss gives the same rows. An empty table gives no rows.
     """
 
