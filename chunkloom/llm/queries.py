@@ -40,7 +40,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), all_links=False)
+    return jaccard.join(table(spark, sf_dir, "documents"), all_links=False).drop("text_hash")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,7 @@ OPERATORS = {
     "pii": lambda s, d: pii.digest(d),
     "jaccard": lambda s, d: jaccard.join(d),
     "media": lambda s, d: media.digest(d),
+    "pack": lambda s, d: pack.pack(d, PATH3).where("start = 0"),
     "toxic": lambda s, d: toxic.score(d, labels(s, [(3, 0, 1), (None, None, None), (5, 1, 0)])),
 }
 
@@ -167,6 +168,22 @@ def test_pack_loses_nothing(spark):
     assert pack.pack(none(spark), PATH3).collect() == []
 
 
+def test_every_character_encodes_as_the_tokenizer_does():
+    t, e = pack.tokenizer(PATH3), pack.encoder(PATH3)
+    for c in [*range(0x3000), *range(0xFE00, 0x10000), 0x1F600, 0x20000]:
+        x = f"a{chr(c)}b c{chr(c)} {chr(c)}D"
+        assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids, hex(c)
+
+
+def test_all_sentence_ends_are_offered():
+    ends = np.zeros(10, bool)
+    ends[3] = True
+    points, cost = pack.cut_points(np.array([1, 3, 3, 1, 3, *[1] * 600, 3, 2]), ends)
+    assert points.tolist() == [2, 3, 5, 261, 517, 606, 607]
+    assert cost.tolist() == [pack.SENTENCE_PENALTY] * 3 + [pack.INNER_PENALTY] * 2 + [pack.SENTENCE_PENALTY, 0]
+    assert pack.tail_windows(3000) == [2048, 512, 256, 128, 32, 16, 8] and pack.tail_windows(4000) == [4000]
+
+
 def test_windows_are_the_cheapest():
     def cost(points, pen, window):
         p, c = [0, *points], [0, *pen]
@@ -283,6 +300,21 @@ def test_jaccard_components(spark, k, t):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
 
 
+def test_words_of_regular_shape_do_not_collide(spark):
+    """The Thue-Morse word and its complement, which polynomials modulo powers of two can't tell apart."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a, "s"), (2, a.translate(str.maketrans("ab", "ba")), "s"), (3, f"{a} x y z", "s")]
+    assert {r.doc_id: r.component_id for r in jaccard.join(documents(spark, rows)).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_rows_under_one_id_are_vertices_of_their_own(spark):
+    x, y = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = jaccard.join(documents(spark, [(1, x, "s"), (3, x, "s"), (3, y, "s"), (4, y, "s"), (None, y, "s"), (None, "no other", "s")]))
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in got.collect()))) == sorted(map(str, [(1, 1), (3, 1), (3, 3), (4, 3), (None, 3), (None, None)]))
+
+
 def test_long_lists_meet_in_blocks(spark, monkeypatch):
     """A group of many near copies, of which none equals another, in blocks far smaller than it."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)

@@ -176,6 +176,15 @@ def test_pipeline_stands_odd_rows(spark):
         assert ids <= {1, 2, 3, None, 7}
 
 
+def test_no_group_is_lost_to_an_id_that_two_texts_share(spark):
+    import corpus_pipeline as P
+
+    x, y = "one two three four five six seven", "seven eight nine ten eleven twelve one"
+    rows = [(i, t, "en", "a", len(t)) for i, t in ((1, x), (3, x), (3, y), (4, y), (None, y), (None, "lost words"))]
+    got = P.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, x), (3, y), (None, "lost words")}
+
+
 def test_sequences_follow_the_position(spark):
     """Several files of unequal size between mixing and packing: the later positions' are the larger ones."""
     import corpus_pipeline as P
