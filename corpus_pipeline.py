@@ -25,11 +25,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents.
 
-    Rows under one id are one document, of which the first by its columns stays. Rows with a null id all stay.
+    Rows are documents of their own, so of two texts under one id one can go and the other stay. What is left under one
+    id is one document, of which the first by its columns stays. Rows with a null id stay unless a row with an id has
+    the same shingles.
     """
     docs = docs.select(*COLUMNS)
-    copies = jaccard.join(docs, SHINGLE_WORDS, SIMILARITY, all_links=False).where("component_id <> doc_id").select("doc_id").distinct()
-    rest = docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    groups = jaccard.join(docs, SHINGLE_WORDS, SIMILARITY, all_links=False)
+    gone = groups.where("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rest = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left_anti")
     again = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated-ids")
     if again.isEmpty():
         return rest
