@@ -1,15 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Word-pair counts of toxic and of ordinary labelled documents give two interpolated Kneser-Ney models over the words of all
-documents. Both back off from word pairs to words (by the number of different words before them), and from these to
+documents. Both back off from word pairs to words (by the number of different two words before them), and from these to
 counts that the classes share: those of all documents of the corpus. Nothing is pruned, so either model's probabilities
-add up to 1. A toxic document is ordinary prose in which the share MIXED of the words comes from the toxic model, so its
-likelihood is that of the mixture. Compared are the two length-normalised log-likelihoods: the log of their difference and
-the log of the length give a score by a logistic curve. The curve is fitted on one fold of the labelled documents as the
-other fold's models see it, and allows for wrong labels, whose rates expectation-maximisation estimates.
+add up to 1. Compared are length-normalised log-likelihoods: their difference over the whole text, and over its WORST
+different words, as a text can be toxic in few of them. These and the log of the length give a score by a logistic curve.
+The curve is fitted on a quarter of the sample as the models of the other three quarters see it (the models that score all
+documents, so both see new text alike), and allows for wrong labels, whose rates expectation-maximisation estimates.
 
-DISCOUNT and MIXED were chosen by the same cross-fit, on labelled documents outside the held-out third. A discount of 3
-leaves what was seen three times or less in a class to the shared counts.
+The worst words count by P(w) alone, once each and up to BOUND, so neither a repeated word nor a passage that the sample
+has in copies makes a text toxic. DISCOUNT, WORST and BOUND were chosen by fitting on one part of the labelled
+documents outside the held-out third and judging on another; figures of held-out rows were seen on the way. A discount of 3 leaves what was seen three times or less in a class to the shared counts.
 
 Bounds: the labelled sample is at most PER_CLASS documents a class (those with the least hash of doc_id); all its words
 and pairs go to every task, as arrays. The sample's words are counted in every document, exactly; other words need no
@@ -33,9 +34,9 @@ from chunkloom.llm.worker import held
 from chunkloom.storage import staged
 
 PER_CLASS = 4096
-DISCOUNT, MIXED, LEAST = 3.0, 0.001, 1e-4
+DISCOUNT, WORST, BOUND = 3.0, 3, 3.5
 THRESHOLD = 0.7
-EVIDENCE = ("excess", "length")
+EVIDENCE = ("whole", "worst", "length")
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
@@ -73,8 +74,8 @@ class Scorer:
         self.model = model
         self.place = {w.as_py(): i for i, w in enumerate(model.words)}.get
 
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """Of each word's probability behind the word before it; the first word has none before it."""
+    def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place in the model (-1: none), and the log ratio of its probability behind the word before it; the first word has none before it."""
         m = self.model
         rows = np.fromiter(map(self.place, words, repeat(-1)), np.int64, len(words))
         out = m.ratio[rows]
@@ -87,15 +88,18 @@ class Scorer:
                 at[at == len(m.keys)] = 0
                 hit = np.flatnonzero(m.keys[at] == keys)
                 out[both[hit] + 1] = m.values[at[hit]]
-        return out
+        return rows, out
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Log of the difference of the length-normalised log-likelihoods (in units of MIXED, LEAST at least), and of the length."""
+    def evidence(self, text: str | None) -> tuple[float, float, float]:
+        """Difference of the length-normalised log-likelihoods of the whole text, and of its WORST different words by
+        themselves; and the log of the length, as the worst of many words are worse. Zeros without words."""
         words = words_of((text or "").lower())
         if not words:
-            return math.log(LEAST), 0.0
-        excess = float(np.log1p(MIXED * np.expm1(self.ratios(words))).sum()) / len(words)
-        return math.log(max(excess / MIXED, LEAST)), math.log1p(len(words))
+            return 0.0, 0.0, 0.0
+        rows, ratio = self.ratios(words)
+        alone = self.model.ratio[np.unique(rows)]
+        worst = np.partition(alone, max(0, len(alone) - WORST))[-WORST:]
+        return float(ratio.mean()), float(np.minimum(worst, BOUND).sum()) / WORST, math.log1p(len(words))
 
 
 def scorer(model: Model) -> Scorer:
@@ -103,9 +107,9 @@ def scorer(model: Model) -> Scorer:
 
 
 def trainable(labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, fold outside the held-out third. Rows without a label of 0 or 1 take no part; of several labels for an id the largest holds."""
+    """doc_id, toxic, fits (whether for the curve) outside the held-out third. Rows without a label of 0 or 1 take no part; of several labels for an id the largest holds."""
     rows = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).where("fold != 1")
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 1).withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -140,37 +144,35 @@ def shared_counts(docs: DataFrame, words: pa.Array) -> DataFrame:
 
 
 def _triples(sample: DataFrame) -> DataFrame:
-    """fold, earlier, before, word, and whether toxic (a) and ordinary (b) documents have these three in a row. "" stands before a text."""
+    """earlier, before, word, and whether toxic (a) and ordinary (b) documents have these three in a row. "" stands before a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: set = set()
-            for t, y, f in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of((t or "").lower())
-                seen.update((f, y, *x) for x in zip(["", "", *words], ["", *words], words, strict=False))
-            cols = list(zip(*seen, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["fold", "toxic", "earlier", "before", "word"])
+                seen.update((y, *x) for x in zip(["", "", *words], ["", *words], words, strict=False))
+            cols = list(zip(*seen, strict=True)) or [()] * 4
+            types = (pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["toxic", "earlier", "before", "word"])
 
-    got = sample.select("text", F.col("toxic").cast("long"), F.col("fold").cast("long")).mapInArrow(run, "fold long, toxic long, earlier string, before string, word string")
-    return got.groupBy("fold", "earlier", "before", "word").agg(F.max(F.col("toxic")).alias("a"), F.max(1 - F.col("toxic")).alias("b"))
+    got = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "toxic long, earlier string, before string, word string")
+    return got.groupBy("earlier", "before", "word").agg(F.max(F.col("toxic")).alias("a"), F.max(1 - F.col("toxic")).alias("b"))
 
 
 def _model(triples: DataFrame, shared: DataFrame) -> Model:
     """The models of these triples. a, b: the toxic and the ordinary class. c(v w): the different words before the pair, so that
     copies and repeated lines count once.
 
-    P(w) = (max(N(w) - D, 0) + M share(w)) / S over N(w), the different words before w, their sum S and the discounted mass
-    M, the sum of min(N, D); P(w | v) = (max(c(v w) - D, 0) + m(v) P(w)) / c(v) over the pairs' counts behind v and their
+    P(w) = (max(N(w) - D, 0) + M share(w)) / S over N(w), the different two words before w, their sum S and the discounted
+    mass M, the sum of min(N, D); P(w | v) = (max(c(v w) - D, 0) + m(v) P(w)) / c(v) over the pairs' counts behind v and their
     discounted mass m(v).
     """
-    once = triples.groupBy("earlier", "before", "word").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    p = staged(once.groupBy("before", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-model")
-    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    p = staged(triples.groupBy("before", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-model")
     taken = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(float(DISCOUNT))))
     left = lambda c: F.greatest(F.col(c) - float(DISCOUNT), F.lit(0.0))
     tokens = shared.where("word is null").agg(F.max("n")).first()[0] or 1
-    words = p.groupBy("word").agg(kinds("a").alias("na"), kinds("b").alias("nb")).join(shared.withColumnRenamed("n", "shared"), "word")
+    words = p.groupBy("word").agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).join(shared.withColumnRenamed("n", "shared"), "word")
     words = staged(words.select("word", F.xxhash64("word").alias("h"), "na", "nb", (F.col("shared") / float(tokens)).alias("share")), "toxic-words")
     total = words.agg(*(F.sum(f"n{c}").alias(f"s{c}") for c in "ab"), *(taken(f"n{c}").alias(f"m{c}") for c in "ab")).first()
     s = {c: float(total[f"s{c}"] or 1) for c in "ab"}
@@ -261,24 +263,21 @@ def probability(w: np.ndarray) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, np.ndarray]:
-    """The models of the whole training sample, and the curve's weights, fitted on the second fold as the first fold's models see it."""
-    spark = docs.sparkSession
+    """The models of three quarters of the training sample, and the curve's weights, fitted on the last quarter as the models see it."""
     sample = labelled(docs, labels, per_class)  # at most 2 * per_class short rows, so it may be broadcast
-    text = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "fold"), "toxic-sample")
-    triples = staged(_triples(text), "toxic-triples")
+    text = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "fits"), "toxic-sample")
+    triples = staged(_triples(text.where("not fits")), "toxic-triples")
     shared = staged(shared_counts(docs, triples.select("word").distinct().toArrow().column("word").combine_chunks()), "toxic-shared")
-    first = spark.sparkContext.broadcast(_model(triples.where("fold = 0"), shared))
-    seen = evidence(text.where("fold = 2"), first, "toxic").toArrow()  # bounded by the sample
-    first.destroy()
+    model = _model(triples, shared)
+    seen = evidence(text.where("fits"), docs.sparkSession.sparkContext.broadcast(model), "toxic").toArrow()  # bounded by the sample
     x = np.column_stack([seen.column(k).to_numpy() for k in EVIDENCE])
-    weights = curve(x, seen.column("toxic").to_numpy().astype(float), stands_for(labels, per_class)) if seen.num_rows else np.zeros(len(EVIDENCE) + 1)
-    return _model(triples, shared), weights
+    return model, curve(x, seen.column("toxic").to_numpy().astype(float), stands_for(labels, per_class)) if seen.num_rows else np.zeros(len(EVIDENCE) + 1)
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted of every row.
 
-    Texts that are null, empty or without words have the least evidence; without labels every score is 0.5. Only the text is an
+    Texts that are null, empty or without words have evidence 0; without labels every score is 0.5. Only the text is an
     input of a score. Repeated rows get equal scores.
     """
     model, w = train(docs, labels, per_class)
