@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chunkloom.llm import html, topk, urls
 from chunkloom.llm import queries as Q
@@ -185,6 +186,35 @@ def test_no_group_is_lost_to_an_id_that_two_texts_share(spark):
     assert {(r.doc_id, r.text) for r in got.collect()} == {(1, x), (3, y), (None, "lost words")}
 
 
+def test_no_text_of_an_article_is_lost(spark):
+    """Alike pages of a host, headings that recur, names inside the container, small articles in a long main, frames of bare bodies."""
+    say = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, f"http://same.net/{i}", f'<title>{i}</title><div class="content"><p>Same body of all pages<p>and more of it</div><div class="footer">{i}</div>') for i in range(9)]
+    rows += [(100 + i, f"http://head.net/{i}", f'<div class="content"><h2>Summary</h2><p>{say(i, 30)}<p>{say(-i, 9)}</div>') for i in range(5)]
+    named = '<article><p>one<div class="related-work"><p>two</div><div class="side">three</div><p class="notice">four<div class="ad">no</div><div class="comments"><p>no</div></article>'
+    rows += [(200, "http://n.net/", named), (201, "http://n.net/", f'<main><p>{say(1, 50)}<article class="card">teaser</article></main>')]
+    rows += [(202, "http://n.net/", f"<main><h1>title</h1><article><p>{say(2, 50)}</article></main>"), (203, "http://n.net/", '<div class="side"><article>only this</article></div>')]
+    rows += [(204, "http://n.net/", f"<article>small</article><article class='b'><p>{say(3, 40)}</article>")]
+    rows += [(300 + i, f"http://bare.net/{i}", f"<body><div>Our site</div><p>{say(i, 30)}<p>Summary<p>{say(-i, 30)}<div>All rights kept</div></body>") for i in range(6)]
+    rows += [(400, None, "<div>" * 5000 + f"<p>{say(4, 5)}" + "</b>" * 5000), (None, "http://n.net/", "<p>no id"), (401, "http://n.net/", named), (401, "http://n.net/", named)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("host", "layout", "text", "container", "constants", "path", "value"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = html.extract(d).collect()
+    out = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and {out[i] for i in range(9)} == {"Same body of all pages\nand more of it"}
+    assert all(out[100 + i] == "\n".join(("Summary", say(i, 30), say(-i, 9))) for i in range(5))
+    assert out[200] == out[401] == "one\ntwo\nthree\nfour" and out[201] == f"{say(1, 50)}\nteaser" and out[202] == say(2, 50)
+    assert out[203] == "only this" and out[204] == say(3, 40) and out[400] == say(4, 5) and out[None] == "no id"
+    assert all(out[300 + i] == "\n".join((say(i, 30), "Summary", say(-i, 30))) for i in range(6))
+
+
+def test_long_sequences_stay_whole():
+    many = [html.Item(f"k{i}", [html.Item("#", value="x", chars=1)]) for i in range(500)]
+    both = html.align(many, many[::-1])
+    assert sum(map(html._chars, both)) == 1000
+
+
 def test_sequences_follow_the_position(spark):
     """Several files of unequal size between mixing and packing: the later positions' are the larger ones."""
     import corpus_pipeline as P
@@ -223,5 +253,5 @@ def test_each_layout_of_a_host_has_its_wrapper(spark):
     for i in range(100):
         assert out[i] == "\n".join((say(i, 40), say(-i, 8)) if i % 20 == 7 else (f"t{i}", say(i, 30), say(-i, 9)))
     assert {out[200 + i] for i in range(30)} == {"\n".join(("Heading", say(1, 20), say(2, 9)))}
-    assert all(out[300 + i] == "\n".join((f"t{i}", say(i, 20), say(-i, 9))) for i in range(30))
+    assert all(out[300 + i] == "\n".join(("Template", f"t{i}", say(i, 20), say(-i, 9))) for i in range(30))
     assert out[400] == say(400, 3)
