@@ -1,11 +1,11 @@
 """Personal data by weak supervision, with DataFrame operations only.
 
 1. Regular expressions mark candidate spans in whole texts: those of the base kinds, and looser ones (written-out e-mail
-   addresses, national phone numbers, bank and social security numbers) that need evidence.
+   addresses, national phone numbers, bank and social security numbers, keys and tokens) that need evidence.
 2. Labelers vote on every candidate (1 yes, 0 no, - no opinion): strict form, gazetteers, words before it, its
    neighbours, its repetitiveness. Expectation-maximisation over the votes' patterns (at most 3^5 a kind) estimates each
    labeler's reliability and every pattern's probability, without labels.
-3. Those probabilities train the final span classifier: naive Bayes over the span's features. Loose candidates stay if
+3. Those probabilities train the final span classifier: naive Bayes over the span's features, for each kind. Loose candidates stay if
    it finds them likelier than not; valid base candidates always stay.
 
 One pass reads the texts; it leaves one small row a document in the shared folder, where all else starts. Offsets are in
@@ -15,7 +15,7 @@ code points. Prefix sums over a document's candidates run in chunks of 256, so n
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +33,9 @@ CANDIDATES = {
     "national": ("phone", False, r"t rlike '[0-9]{3}[ .)-]'", r"(?<![0-9+])(?<![0-9][ .-])(?<!\+[0-9]{1,3}[ .-]{0,2})(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![ .-]?[0-9])"),
     "iban": ("iban", False, r"t rlike '[A-Z]{2}[0-9]{2}'", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": ("ssn", False, r"t rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "secret": ("secret", False, r"t rlike '[A-Za-z0-9+/_-]{20}'", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}+(?![A-Za-z0-9+/_-])"),
 }
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE_KINDS = KINDS[:4]
 CONTEXT = 32
 #: Words before a span that speak for its kind.
@@ -45,8 +46,9 @@ CUES = {
     "phone": "phone|tel|call|mobile|fax|contact|whatsapp",
     "iban": "iban|bank|account|transfer|konto|cuenta",
     "ssn": "ssn|social|security|insurance",
+    "secret": "token|secret|passw|api.?key|access.?key|private.?key|auth|credential|bearer",
 }
-#: Top-level domains, first digits of cards, country codes of bank accounts.
+#: Top-level domains, first digits of cards, country codes of bank accounts, lengths and beginnings of keys.
 GAZETTEER = {
     "email": r"(?i)[. ](com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
     "ip": r"^(?!0|127\.|255\.)",
@@ -54,6 +56,7 @@ GAZETTEER = {
     "phone": r"^\+?[^0-9]*[1-9]",
     "iban": r"^(AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]+|xox[abprs]-.*|sk-.*|eyJ.*)$",
 }
 STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@.*\.[A-Za-z]{2,}$",
@@ -62,6 +65,7 @@ STRICT = {
     "phone": r"^\+[0-9]{1,3}[ (.-]|^\([0-9]{3}\) ?[0-9]{3}-",
     "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}$",
     "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
+    "secret": r"^(?=(?:[^0-9]*[0-9]){5})(?=(?:[^A-Za-z]*[A-Za-z]){5})[A-Za-z0-9+/_-]+$",
 }
 LABELERS = 5
 CHUNK, ROUNDS = 256, 60
@@ -124,7 +128,7 @@ def candidates(pieces: DataFrame, *keep: str) -> DataFrame:
             f"concat('c', {cue})",
         ]
         features[3:5] = [f"if(length({f}) <= 2 AND {f} rlike '^.[\\\\x20-\\\\x7e]$', {f}, concat(left({f}, 1), '?'))" for f in features[3:5]]
-        key = ", ".join(features)
+        key = ", ".join(f"concat('{kind}|', {f})" for f in features)
         struct = f"named_struct('kind', '{kind}', 'base', {str(base).lower()}, 'start', x.start, 'stop', x.start + length(x.v), 'votes', concat('{kind}:', {', '.join(votes)}), 'features', array({key}))"
         joined = f"zip_with(zip_with({name}, {_starts(name)}, (p, s) -> named_struct('v', p.v, 'start', s, 'head', p.head)), concat(array(''), transform({name}, p -> p.tail)), (p, t) -> named_struct('v', p.v, 'start', p.start, 'head', p.head, 'tail', t))"
         found = f"filter(slice({joined}, 2, greatest(size({name}) - 1, 0)), x -> {valid})"
@@ -171,14 +175,22 @@ def _map(values: dict[str, float]) -> Column:
 
 
 def train(found: DataFrame) -> dict[str, float]:
-    """Naive Bayes weights (log odds) by feature; "" is the prior. Patterns and feature values are few, whatever the data."""
-    each = found.select(F.explode("c").alias("c")).select("c.votes", "c.features")
+    """Naive Bayes weights (log odds) by feature, which starts with its kind; a kind's name alone is its prior. Patterns and feature values are few, whatever the data."""
+    each = found.select(F.explode("c").alias("c")).select("c.kind", "c.votes", "c.features")
     post = reliabilities({r["votes"]: r["n"] for r in each.groupBy("votes").agg(F.count("*").alias("n")).collect()})
     p = each.withColumn("p", F.element_at(_map(post), F.col("votes")))
-    rows = p.select(F.explode(F.concat("features", F.array(F.lit("")))).alias("f"), "p").groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
-    whole = next(((r["yes"] + 1, r["no"] + 1) for r in rows if r["f"] == ""), (1.0, 1.0))
-    out = {r["f"]: math.log((r["yes"] + 0.5) / whole[0]) - math.log((r["no"] + 0.5) / whole[1]) for r in rows if r["f"]}
-    return {k: round(v, 9) for k, v in (out | {"": math.log(whole[0] / whole[1])}).items()}
+    rows = p.select("kind", F.posexplode(F.concat("features", F.array("kind"))).alias("slot", "f"), "p").groupBy("kind", "slot", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
+    values = Counter((r["kind"], r["slot"]) for r in rows)
+    total = {r["f"]: (r["yes"], r["no"]) for r in rows if r["f"] == r["kind"]}
+
+    def odds(r) -> float:
+        yes, no = total[r["kind"]]
+        if r["f"] == r["kind"]:
+            return math.log((yes + 1) / (no + 1))
+        more = (values[r["kind"], r["slot"]] + 1) / 2  # half a count of each of the slot's values, and of one not seen
+        return math.log((r["yes"] + 0.5) / (yes + more)) - math.log((r["no"] + 0.5) / (no + more))
+
+    return {r["f"]: round(odds(r), 9) for r in rows}
 
 
 def pii_spans(docs: DataFrame, *keep: str) -> DataFrame:
@@ -189,7 +201,7 @@ def pii_spans(docs: DataFrame, *keep: str) -> DataFrame:
     keep = keep or ("doc_id",)
     found = candidates(staged(marked(docs, *keep), "pii-pieces"), *keep)
     weights = _map(train(found))
-    score = "aggregate(concat(x.features, array('')), 0D, (s, f) -> s + coalesce(element_at(w, f), 0D))"
+    score = "aggregate(concat(x.features, array(x.kind)), 0D, (s, f) -> s + coalesce(element_at(w, f), 0D))"
     order = f"array_position(array({', '.join(repr(k) for k in KINDS)}), x.kind)"
     kept = F.expr(f"array_sort(transform(filter(c, x -> x.base OR {score} > 0), x -> named_struct('start', x.start, 'k', {order}, 'kind', x.kind, 'stop', x.stop, 'base', x.base)))")
     return found.withColumn("w", weights).select(*keep, kept.alias("spans"))
@@ -203,8 +215,14 @@ def redacted(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and hashes of pii_spans: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans."""
+    """Counts and hashes of pii_spans, a row each: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added
+    (spans that the method adds), has_pii (1 if there is any span).
+
+    Null and empty texts have no spans, so empty strings and counts of 0. Repeated rows stay, null ids too; other columns
+    are not read. Spans that start together are in the order of the kinds. An empty table gives no rows.
+    """
     text = lambda a: f"array_join(transform({a}, x -> concat_ws(':', x.kind, x.start, x.stop)), ',')"
     base = "filter(spans, x -> x.base)"
     counts = [F.expr(f"cast(size(filter(spans, x -> x.base AND x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE_KINDS]
-    return pii_spans(docs).select("doc_id", *counts, F.sha2(F.expr(text(base)).cast("binary"), 256).alias("base_sha256"), F.expr(text("spans")).alias("spans"))
+    added = F.expr("cast(size(filter(spans, x -> NOT x.base)) as bigint)").alias("n_added")
+    return pii_spans(docs).select("doc_id", *counts, F.sha2(F.expr(text(base)).cast("binary"), 256).alias("base_sha256"), F.expr(text("spans")).alias("spans"), added, (F.size("spans") > 0).cast("int").alias("has_pii"))

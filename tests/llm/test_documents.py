@@ -252,6 +252,70 @@ def test_method_adds_spans_and_masks(spark):
     assert text[99] == "mail <email> or <phone> now"
 
 
+def plain_weights(found):
+    """The final classifier by plain expectation-maximisation over single candidates, and naive Bayes on its probabilities."""
+    rows = [(c.kind, c.votes.split(":")[1], c.features) for r in found for c in r.c]
+    p = np.array([(1 + v.count("1")) / (2 + v.count("1") + v.count("0")) for _, v, _ in rows])
+    for kind in {k for k, _, _ in rows}:
+        at = np.array([i for i, (k, _, _) in enumerate(rows) if k == kind])
+        votes = np.array([list(rows[i][1]) for i in at])
+        for _ in range(pii.ROUNDS):
+            logs = []
+            for q in (p[at], 1 - p[at]):
+                one = np.full(len(at), math.log(q.sum() + 1))
+                for j in range(pii.LABELERS):
+                    n = {x: 1 + q[votes[:, j] == x].sum() for x in "10-"}
+                    one += np.log([n[x] / sum(n.values()) for x in votes[:, j]])
+                logs.append(one)
+            new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
+            done, p[at] = np.abs(new - p[at]).max() < 1e-9, new
+            if done:
+                break
+    out = {}
+    for kind in {k for k, _, _ in rows}:
+        at = [i for i, (k, _, _) in enumerate(rows) if k == kind]
+        q = (p[at], 1 - p[at])
+        out[kind] = math.log((q[0].sum() + 1) / (q[1].sum() + 1))
+        for slot in range(len(rows[0][2])):
+            of = np.array([rows[i][2][slot] for i in at])
+            more = (len(set(of)) + 1) / 2
+            for v in set(of):
+                out[v] = np.subtract(*(math.log((x[of == v].sum() + 0.5) / (x.sum() + more)) for x in q))
+    return out
+
+
+def test_the_classifier_decides_what_is_added(spark):
+    r = random.Random(21)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    noise = lambda: "".join(r.choice("abcdefgh") for _ in range(24)) + "1"
+    rows = [(i, r.choice((f'my token = "{hexes(40)}" here', f"see path/{noise()}_x/ there", f"part {r.randint(100, 999)} 555 1234 of", f"call (212) 555-{r.randint(1000, 9999)} now", f"id={noise()}", f"jane at mail dot org, tel 212-555-{r.randint(1000, 9999)}", "nothing", f"a@b.org and v {noise()}")), "s") for i in range(300)]
+    d = documents(spark, rows)
+    found = pii.candidates(pii.marked(d, "doc_id"), "doc_id").collect()
+    want = plain_weights(found)
+    got = pii.train(pii.candidates(pii.marked(d, "doc_id"), "doc_id"))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+    out = {x.doc_id: x for x in pii.digest(d).collect()}
+    added = 0
+    for x in found:
+        keep = sorted((c.start, pii.KINDS.index(c.kind), f"{c.kind}:{c.start}:{c.stop}") for c in x.c if c.base or sum(want[f] for f in [*c.features, c.kind]) > 0)
+        assert out[x.doc_id].spans == ",".join(k[2] for k in keep) and out[x.doc_id].has_pii == bool(keep)
+        added += out[x.doc_id].n_added
+    assert 0 < added < sum(not c.base for x in found for c in x.c)
+    assert all(out[i].has_pii for i, t, _ in rows if "token" in t) and not any(out[i].has_pii for i, t, _ in rows if t == "nothing")
+
+
+def test_provided_documents_by_kind(spark):
+    """Every document with an e-mail address, address, phone number or token of the provided form is found; nine of ten at least a kind."""
+    from chunkloom.storage import table
+
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+    out = {x.doc_id: x for x in pii.digest(table(spark, "/root/testdata/sf0.01", "documents")).collect()}
+    for rx in (r"[\w.]+@[\w-]+\.\w+", r"\+1 \(\d{3}\) 555-\d{4}", r'token = "[0-9a-f]{40}"'):
+        have = [r.doc_id for r in d if re.search(rx, r.text or "")]
+        assert have and sum(out[i].has_pii for i in have) >= 0.9 * len(have), rx
+    assert sum(x.has_pii for x in out.values()) < 0.2 * len(out)
+
+
 def test_reliabilities_separate_the_classes():
     p = pii.reliabilities({"phone:11111": 50, "phone:11-11": 40, "phone:00000": 60, "phone:0-000": 30, "phone:10101": 3})
     assert p["phone:11111"] > 0.9 and p["phone:00000"] < 0.1
