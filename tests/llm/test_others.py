@@ -26,7 +26,6 @@ def brute(vectors, ids, k=10):
 @pytest.mark.parametrize(("n", "block"), [(5, 8192), (300, 64), (300, 8192)])
 def test_top_k(spark, monkeypatch, n, block):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
     r = np.random.default_rng(1)
     base = r.normal(size=(7, 6))
     vectors = {i: [float(np.float32(x)) for x in (base[i % 7] if i % 3 else r.normal(size=6))] for i in range(n)}
@@ -47,7 +46,12 @@ def test_top_k_large_values_and_empty(spark):
     got = [(x.vec_id, x.score) for x in sorted(topk.top_k(d, d.where("vec_id = 0")).collect())]
     assert got == [(1, 2**63 - 1), (2, 2**63 - 1), (3, 2**63 - 1), (4, 0)]  # clipped, so ties
     e = spark.createDataFrame([], schema)
-    assert topk.top_k(e, e).collect() == []
+    assert topk.top_k(e, e).collect() == [] and topk.top_k(d, e).collect() == [] and topk.top_k(e, d).collect() == []
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [2.0]), (2, [3.0]), (2, [3.0]), (None, [9.0]), (3, None)], schema)
+    for c in ("block", "asks", "query", "rank", "score"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    got = [tuple(x) for x in topk.top_k(odd, odd.where("vec_id = 1 or vec_id is null"), scale=1).collect()]
+    assert sorted(got) == [(1, 1, 2, 3), (1, 1, 2, 6), (1, 2, 2, 3), (1, 2, 2, 6)]
 
 
 URLS = ["http://A.org/x", "https://example.org/es/1?q", "https://m.example.org/en/12#t", "https://example.org/en/2", "http://a.com/fr/", "http://a.com/de/x", "http://com/fr/", "http://free-bets.example.net/en", "http://x.net", "mailto:a", None, "", "http://a.org", "http://alphabets.net/", "a://b://c/d", "http://notexample.org/es/", "ftp://bets.org/"]
