@@ -19,7 +19,8 @@ from chunkloom.storage import staged
 WORD = r"[^\x20\x09-\x0D]+"
 #: Knots (time, relative weight) of the schedule of each weight class; linear between knots.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
-BUCKET_DIGITS = 3  # hex digits of the stream order's hash: 4096 buckets a source
+#: Hex digits of the stream order's hash that make a bucket: 4096 buckets a source, 16 times as many for each 16 times 2^32 rows.
+BUCKET_DIGITS, ROWS_FOR_THEM = 3, 1 << 32
 
 
 def word_count(text: Column) -> Column:
@@ -62,13 +63,17 @@ def targets(per_source: DataFrame, weights: tuple[float, ...], share: float, cap
 def streams(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row a document: doc_id, source, text_hash, size, source_size, target, class_no and `start`, its offset in its source's stream.
 
-    The stream's order is by md5 of doc_id, so reruns agree. Null texts have size 0, a null source is a source of its own
-    (the last), null ids sort first, repeated rows are documents of their own.
+    The stream's order is by md5 of doc_id and text, so reruns agree, and neither null ids nor a repeated one share a bucket. Null
+    texts have size 0, a null source is a source of its own (the last), repeated rows are documents of their own. Sources are
+    the mix's classes: they are ordered in one task, so at most some millions of them.
     """
-    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
-    h = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
-    rows = rows.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("key"), h.alias("h"))
-    rows = staged(rows.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)), "mix-sizes")
+    h = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"), h.alias("h"))
+    rows = staged(rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))), "mix-sizes")
+    digits, n = BUCKET_DIGITS, rows.count()
+    while n > ROWS_FOR_THEM << 4 * (digits - BUCKET_DIGITS):
+        digits += 1
+    rows = rows.withColumn("bucket", F.substring("h", 1, digits))
     totals = rows.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_source = targets(totals.groupBy("key").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
     by_bucket = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

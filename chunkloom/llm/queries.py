@@ -117,7 +117,7 @@ FROM c
     "op1_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         coalesce('s' || source, 't') AS key, coalesce(md5(doc_id::VARCHAR), '') AS h FROM documents
+         coalesce('s' || source, 't') AS key, md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS h FROM documents
 ), p AS (SELECT key, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY key) AS k FROM d GROUP BY key),
 w AS (SELECT *, (k - 1) % 3 AS class_no, CASE (k - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight, 2.0::DOUBLE * source_size AS cap FROM p),
 r AS (

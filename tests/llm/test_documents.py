@@ -113,6 +113,13 @@ def test_inverse_demand(spark, knots):
         assert abs(np.interp(r.t, grid, demand / demand[-1]) - r.x) < 1e-6
 
 
+def test_mix_deals_null_and_repeated_ids(spark):
+    rows = [(None if i % 2 else 7, f"word {i} " * 3, "a") for i in range(900)]
+    s = mix.streams(documents(spark, rows)).collect()
+    assert len({r.bucket for r in s}) > 600 and sorted(r.start for r in s) == [6 * i for i in range(900)]
+    assert sum(r.taken for r in mix.mix(documents(spark, rows)).collect()) == 1.5 * 5400
+
+
 def test_mix_copies_are_whole(spark):
     rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts(2, 300))]
     s = {r.doc_id: r for r in mix.streams(documents(spark, rows)).collect()}
