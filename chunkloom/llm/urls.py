@@ -56,7 +56,7 @@ def host_of(url: Column) -> Column:
 
 def _rest(url: Column) -> Column:
     at = F.instr(url, "://")
-    return F.coalesce(F.when(at > 0, F.expr("substring({0}, {1} + 3)".format("url", "instr(url, '://')"))), F.lit(""))
+    return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -94,7 +94,8 @@ def judge_urls(pages: DataFrame, scopes: tuple[Rule, ...] = SCOPES, patterns: tu
     """page_id, host, path, rule, verdict of every row.
 
     Null URLs and those without :// have empty host and path, no rule and the default verdict. Of equally long scopes
-    the one whose text is greater wins; a blocking pattern beats the default. Rows stay in place.
+    the one whose text is greater wins; a blocking pattern beats the default. Rows stay in place, repeated ones and null
+    ids too; other columns are not read. An empty table gives no rows.
     """
     rules = scopes + patterns
     if sum(len(r.regex) for r in rules) > MAX_RULE_BYTES:

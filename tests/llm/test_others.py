@@ -74,6 +74,17 @@ def test_url_rules(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_url_rules_stand_odd_rows(spark):
+    rows = [(1, "http://a.org/" + "x" * 200_000), (1, "http://a.org/"), (1, "http://a.org/"), (None, None), (2, ""), (3, "http://" + "casino-" * 9000)]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    for c in ("host", "path", "rule", "verdict", "t", "n"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = urls.judge_urls(d).collect()
+    assert len(got) == 6 and sorted(str(r.page_id) for r in got if r.rule == "org/") == ["1"] * 3
+    other = d.select(F.col("url").alias("link")).select(urls.host_of(F.col("link")).alias("h"), urls.path_of(F.col("link")).alias("p")).collect()
+    assert ("a.org", "/") in {(r.h, r.p) for r in other}
+
+
 def test_index_fetches_only_candidates():
     rules = tuple(urls.pattern("block", f"word{i}") for i in range(500))
     index = urls.RuleIndex(rules, {"word7": 1})
