@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from chunkloom.storage import staged
 PER_CLASS = 4096
 DISCOUNT, WORST, BOUND = 3.0, 3, 3.5
 THRESHOLD = 0.7
+CHUNK_BYTES = 1 << 19
 EVIDENCE = ("whole", "worst", "length")
 words_of = re.compile(r"[^\W\d_]+").findall
 
@@ -74,32 +76,41 @@ class Scorer:
         self.model = model
         self.place = {w.as_py(): i for i, w in enumerate(model.words)}.get
 
-    def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's place in the model (-1: none), and the log ratio of its probability behind the word before it; the first word has none before it."""
+    def ratios(self, words: list[str], starts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place in the model (-1: none), and the log ratio of its probability behind the word before it. The words of
+        several texts stand behind each other; those at `starts` have none before them."""
         m = self.model
         rows = np.fromiter(map(self.place, words, repeat(-1)), np.int64, len(words))
         out = m.ratio[rows]
-        if len(rows) > 1:
-            out[1:] += m.behind[rows[:-1]]
-            both = np.flatnonzero((rows[:-1] >= 0) & (rows[1:] >= 0))
-            if len(both) and len(m.keys):
-                keys = pair_key(m.h[rows[both]], m.h[rows[both + 1]])
-                at = np.searchsorted(m.keys, keys)
-                at[at == len(m.keys)] = 0
-                hit = np.flatnonzero(m.keys[at] == keys)
-                out[both[hit] + 1] = m.values[at[hit]]
+        follows = np.ones(len(rows), bool)
+        follows[starts or [0][: len(rows)]] = False
+        at = np.flatnonzero(follows)
+        out[at] += m.behind[rows[at - 1]]
+        at = at[(rows[at] >= 0) & (rows[at - 1] >= 0)]
+        if len(at) and len(m.keys):
+            keys = pair_key(m.h[rows[at - 1]], m.h[rows[at]])
+            order = np.argsort(keys)  # looked up in order, neighbours lie together
+            keys, at = keys[order], at[order]
+            place = np.searchsorted(m.keys, keys)
+            place[place == len(m.keys)] = 0
+            hit = m.keys[place] == keys
+            out[at[hit]] = m.values[place[hit]]
         return rows, out
 
-    def evidence(self, text: str | None) -> tuple[float, float, float]:
-        """Difference of the length-normalised log-likelihoods of the whole text, and of its WORST different words by
-        themselves; and the log of the length, as the worst of many words are worse. Zeros without words."""
-        words = words_of((text or "").lower())
-        if not words:
-            return 0.0, 0.0, 0.0
-        rows, ratio = self.ratios(words)
-        alone = self.model.ratio[np.unique(rows)]
-        worst = np.partition(alone, max(0, len(alone) - WORST))[-WORST:]
-        return float(ratio.mean()), float(np.minimum(worst, BOUND).sum()) / WORST, math.log1p(len(words))
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """Of every text: the difference of the length-normalised log-likelihoods of the whole text, and of its WORST different words
+        by themselves; and the log of the length, as the worst of many words are worse. Zeros without words."""
+        found = [words_of((t or "").lower()) for t in texts]
+        ends = np.cumsum([len(x) for x in found])
+        filled = [i for i, x in enumerate(found) if x]
+        rows, ratio = self.ratios([w for x in found for w in x], [int(ends[i]) - len(found[i]) for i in filled])
+        out = np.zeros((len(texts), len(EVIDENCE)))
+        for i in filled:
+            lo, hi = ends[i] - len(found[i]), ends[i]
+            alone = self.model.ratio[np.unique(rows[lo:hi])]
+            worst = np.partition(alone, max(0, len(alone) - WORST))[-WORST:]
+            out[i] = ratio[lo:hi].mean(), np.minimum(worst, BOUND).sum() / WORST, math.log1p(hi - lo)
+        return out
 
 
 def scorer(model: Model) -> Scorer:
@@ -245,10 +256,14 @@ def evidence(docs: DataFrame, sent, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(sent.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
-                got = [s.evidence(t.as_py()) for t in b.column(place)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array([g[i] for g in got], pa.float64()) for i in range(len(EVIDENCE)))], names=[*keep, *EVIDENCE])
+            upto = np.cumsum(pc.fill_null(pc.binary_length(whole.column(place)), 0).to_numpy())
+            lo = 0
+            while lo < whole.num_rows:  # CHUNK_BYTES of text at once, or one text
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
+                b = whole.slice(lo, hi - lo)
+                got = s.evidence(b.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(got[:, i]) for i in range(len(EVIDENCE)))], names=[*keep, *EVIDENCE])
+                lo = hi
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{k} double" for k in EVIDENCE]))

@@ -567,10 +567,10 @@ def test_models_are_plain_kneser_ney(spark):
         assert np.abs(score.ratios(words)[1] - plain).max() < 1e-9
         alone = {score.place(x, -1): min(math.log(a("", x) / b("", x)) - model.unknown, toxic.BOUND) for x in words}
         worst = sum(sorted(alone.values(), reverse=True)[: toxic.WORST]) / toxic.WORST
-        assert np.abs(np.array(score.evidence(rows[i][1])) - (sum(plain) / len(words), worst, math.log1p(len(words)))).max() < 1e-9
+        assert np.abs(score.evidence([None, rows[i][1], "", rows[i][1]])[[1, 3]] - (sum(plain) / len(words), worst, math.log1p(len(words)))).max() < 1e-9
     got = {x.doc_id: x.score for x in toxic.score(d, labels(spark, marks)).collect()}
     for i in range(0, 240, 7):
-        x = score.evidence(rows[i][1])
+        x = score.evidence([rows[i][1]])[0]
         assert abs(got[i] - 1 / (1 + math.exp(-(np.dot(x, w[:3]) + w[3])))) < 1e-9
 
 
