@@ -10,25 +10,25 @@ from pyspark.sql import functions as F
 
 #: Machine types and optional-header magics of plausible PE headers.
 PE_MACHINES = frozenset({0x014C, 0x8664, 0x01C0, 0x01C4, 0xAA64, 0x0200})
-PE_MAGICS = frozenset({0x010B, 0x020B})
-MAX_SECTIONS, MAX_HEADER_AT = 96, 4096
+PE_MAGICS = frozenset({0x010B, 0x020B, 0x0107})
+MAX_SECTIONS = 96
 RECORD, STANDARD_INFORMATION, FILE_NAME = 1024, 0x10, 0x30
 
 
 def normalize_pe(data: bytes) -> bytes:
-    """Zeroes the time stamp and the checksum of every plausible PE header, wherever an image begins in the chunk."""
-    out, at = None, data.find(b"MZ")
+    """Zeroes the time stamp and, inside its optional header, the checksum of every plausible PE header in the chunk, whether the image begins there or not."""
+    out, at = None, data.find(b"PE\0\0")
     while at >= 0:
-        if at + 0x40 <= len(data):
-            pe = at + struct.unpack_from("<I", data, at + 0x3C)[0]
-            if at + 0x40 <= pe <= at + MAX_HEADER_AT and pe + 92 <= len(data) and data[pe : pe + 4] == b"PE\0\0":
-                machine, sections = struct.unpack_from("<HH", data, pe + 4)
-                optional, magic = struct.unpack_from("<H", data, pe + 20)[0], struct.unpack_from("<H", data, pe + 24)[0]
-                if machine in PE_MACHINES and 0 < sections <= MAX_SECTIONS and optional >= 68 and magic in PE_MAGICS:
-                    out = out or bytearray(data)
-                    out[pe + 8 : pe + 12] = bytes(4)
-                    out[pe + 24 + 64 : pe + 24 + 68] = bytes(4)
-        at = data.find(b"MZ", at + 2)
+        if at + 24 <= len(data):
+            machine, sections = struct.unpack_from("<HH", data, at + 4)
+            optional = struct.unpack_from("<H", data, at + 20)[0]
+            magic = optional < 2 or at + 26 <= len(data) and struct.unpack_from("<H", data, at + 24)[0] in PE_MAGICS
+            if machine in PE_MACHINES and 0 < sections <= MAX_SECTIONS and magic:
+                out = out or bytearray(data)
+                out[at + 8 : at + 12] = bytes(4)
+                if optional >= 68 and at + 92 <= len(data):
+                    out[at + 88 : at + 92] = bytes(4)
+        at = data.find(b"PE\0\0", at + 1)
     return bytes(out) if out is not None else data
 
 

@@ -163,3 +163,10 @@ def parse_exclusion(raw: Column) -> Column:
     )
     ok = reason.isNull()
     return F.struct(F.when(ok, F.upper(F.substring(s, 1, 2))).alias("drive"), F.when(ok, F.translate(rel, "\\", "/")).alias("rel"), reason.alias("reason"))
+
+
+def repository_pattern(repository: Column, source: Column) -> Column:
+    """The anchored pattern that keeps a store out of a backup of the folder it lies in; null if it lies elsewhere or is that folder. Both are absolute paths."""
+    clean = lambda p: F.regexp_replace(F.regexp_replace(p, "/+", "/"), "(.)/$", "$1")
+    r, s = clean(repository), F.regexp_replace(clean(source), "/$", "")
+    return F.when(F.startswith(r, F.concat(s, F.lit("/"))) & (F.length(r) > F.length(s) + 1), F.concat(F.substr(r, F.length(s) + 1), F.lit("/")))

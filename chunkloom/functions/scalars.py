@@ -1,7 +1,11 @@
-"""Scalar column functions; all are built-in expressions."""
+"""Scalar column functions; all are built-in expressions but for the wrapping 64-bit mixer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,16 +108,18 @@ def decrypt(data: Column, key: Column, aad: str) -> Column:
     return F.try_aes_decrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad.encode()))
 
 
-#: Partition types by GUID.
+#: Partition types by GUID and their names.
 PARTITION_TYPES = {
     "C12A7328-F81F-11D2-BA4B-00A0C93EC93B": "EFI System",
     "E3C9E316-0B5C-4DB8-817D-F92DF00215AE": "Microsoft Reserved",
-    "EBD0A0A2-B9E5-4433-87C0-68B6B72699C7": "Microsoft Basic Data",
-    "DE94BBA4-06D1-4D40-A16A-BFD50179D6AC": "Windows Recovery",
+    "EBD0A0A2-B9E5-4433-87C0-68B6B72699C7": "Basic Data",
+    "DE94BBA4-06D1-4D40-A16A-BFD50179D6AC": "Windows RE",
     "0FC63DAF-8483-4772-8E79-3D69D8477DE4": "Linux Filesystem",
     "0657FD6D-A4AB-43C4-84E5-0933C84B4F4F": "Linux Swap",
-    "933AC7E1-2EB4-4F13-B844-0E14E2AEF915": "Linux Home",
+    "21686148-6449-6E6F-744E-656564454649": "BIOS Boot",
     "E6D6D379-F507-44C2-A23C-238F2A3DF928": "Linux LVM",
+    "933AC7E1-2EB4-4F13-B844-0E14E2AEF915": "Linux Home",
+    "5808C8AA-7E8F-42E0-85D2-E1E90434CFB3": "Windows LDM",
 }
 
 
@@ -133,3 +139,52 @@ def filesystem(head: Column) -> Column:
         .when(at(82, 8) == "4641543332202020", "fat32")
         .when(ext, "ext4")
     )
+
+
+def mix64(x: Column) -> Column:
+    """A bijective 64-bit mixer (of the splitmix family); longs are taken as unsigned. Such products wrap, which SQL's do not."""
+
+    @F.pandas_udf("long")
+    def run(v: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            return pd.Series(mixed(v.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    return run(x)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The mixer's shifts and factors."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def compression_preset(level: Column) -> Column:
+    """The compressor's preset for a level: four of them differ; no level stores plain bytes."""
+    return F.when(level <= 1, "fastest").when(level <= 3, "default").when(level <= 6, "better").otherwise("best")
+
+
+def minimum_size(filesystem: Column, used: Column, last_used_end: Column, total: Column) -> Column:
+    """The least size in bytes that a file system can shrink to: the end of its last used cluster (ntfs), the used bytes and a
+    twentieth of them (ext4), in whole MiB and at most its size; null if it can't shrink."""
+    need = F.when(filesystem == "ntfs", round_up_mib(last_used_end)).when(filesystem == "ext4", round_up_mib(used + F.floor(used / 20).cast("long")))
+    return F.least(need, F.when(need.isNotNull(), total))
+
+
+def mismatch_reason(was: Callable[[str], Column], now: Callable[[str], Column]) -> Column:
+    """Why a suspended run can't go on, or an empty string: the first difference of its recorded and the fresh identity.
+
+    Fields: source_kind, source_path, volume, total_size, config_hash, mtime (of an input file), mode, catalog_hash (of files).
+    """
+    differs = lambda f: ~was(f).eqNullSafe(now(f))
+    change = lambda text, f, tail="": F.concat(F.lit(f"{text} ("), was(f).cast("string"), F.lit(" -> "), now(f).cast("string"), F.lit(tail + ")"))
+    return (
+        F.when(differs("source_kind"), change("source kind changed", "source_kind"))
+        .when(differs("source_path"), change("source path changed", "source_path"))
+        .when(differs("volume"), change("volume changed", "volume"))
+        .when(differs("total_size"), change("source size changed", "total_size", " bytes"))
+        .when(differs("config_hash"), "repository chunker/normalizer/encryption config changed")
+        .when((was("source_kind") == "input") & differs("mtime"), change("input file mtime changed", "mtime"))
+        .when((was("mode") == "file") & differs("catalog_hash"), "source files changed since the backup was suspended (files added, removed, resized, or modified)")
+        .otherwise("")
+    )

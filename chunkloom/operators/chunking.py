@@ -45,13 +45,13 @@ class Geometry:
         return self.mask >> 2
 
 
-#: The named geometries.
+#: The named geometries (minimum, maximum, mask of the average, pack).
 PROFILES = {
-    "fine-grained": Geometry(2 << 10, 64 << 10, (1 << 13) - 1, 128 << 20),
-    "mixed": Geometry(4 << 10, 128 << 10, (1 << 15) - 1, 128 << 20),
-    "low-footprint": Geometry(16 << 10, 256 << 10, (1 << 16) - 1, 64 << 20),
-    "coarse": Geometry(32 << 10, 512 << 10, (1 << 17) - 1, 256 << 20),
-    "archive": Geometry(256 << 10, 4 << 20, (1 << 20) - 1, 512 << 20),
+    "fine-grained": Geometry(4 << 10, 64 << 10, (8 << 10) - 1, 512 << 20),
+    "mixed": Geometry(8 << 10, 256 << 10, (32 << 10) - 1, 128 << 20),
+    "low-footprint": Geometry(16 << 10, 512 << 10, (64 << 10) - 1, 128 << 20),
+    "coarse": Geometry(32 << 10, 1 << 20, (128 << 10) - 1, 256 << 20),
+    "archive": Geometry(256 << 10, 8 << 20, (1 << 20) - 1, 1 << 30),
 }
 #: For texts of some hundred bytes.
 SMALL = Geometry(256, 4096, 0x3FF, 128 << 10)

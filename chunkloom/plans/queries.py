@@ -620,7 +620,7 @@ def bloom_membership(spark, sf):
     """Documents against a filter of the even ones' hashes: all even ones must be possible members."""
     from chunkloom.operators import bloom
 
-    o = T.whole_objects(spark, sf).select("object_id", "strong")
+    o = T.whole_objects(spark, sf).select("object_id", F.xxhash64("strong").alias("weak"))
     bits = bloom.bits_for(max(1, o.count() // 2), 0.01)
-    words = staged(bloom.build(o.where("object_id % 2 = 0"), "strong", bits), "bloom")
-    return bloom.maybe(staged(o, "bloom-rows"), "strong", words, bits).select("object_id", "maybe")
+    words = staged(bloom.build(o.where("object_id % 2 = 0"), "weak", bits), "bloom")
+    return bloom.maybe(staged(o, "bloom-rows"), "weak", words, bits).select("object_id", "maybe")

@@ -198,7 +198,7 @@ def test_scalars(spark):
     assert one(scalars.align_up(F.lit(5), 0)) == 5 and one(scalars.align_down(F.lit(4097), 4096)) == 4096
     assert one(scalars.filesystem(F.unhex(F.lit("EB5290" + b"NTFS    ".hex())))) == "ntfs"
     assert one(scalars.little_endian(F.unhex(F.lit("00010203")), 1, 3)) == 0x030201
-    assert one(scalars.type_name(F.lit(DATA.lower()))) == "Microsoft Basic Data"
+    assert one(scalars.type_name(F.lit(DATA.lower()))) == "Basic Data"
 
 
 def test_bytes_of_ranges(spark):
@@ -247,10 +247,65 @@ def test_gpt_rewritten_for_a_larger_drive():
         layout.rewrite_gpt(bytes(damaged[: 34 * 512]), 512, size)
 
 
+def test_profiles_are_the_fixed_ones():
+    sizes = {k: (g.minimum >> 10, g.mask + 1 >> 10, g.maximum >> 10, g.pack >> 20) for k, g in K.PROFILES.items()}
+    assert sizes == {"fine-grained": (4, 8, 64, 512), "mixed": (8, 32, 256, 128), "low-footprint": (16, 64, 512, 128), "coarse": (32, 128, 1024, 256), "archive": (256, 1024, 8192, 1024)}
+
+
+def test_a_header_cut_from_its_image_is_normalised():
+    head = b"PE\0\0" + (0x8664).to_bytes(2, "little") + (3).to_bytes(2, "little") + b"TIME" + bytes(8) + (240).to_bytes(2, "little") + b"\x22\0" + (0x20B).to_bytes(2, "little") + b"r" * 62 + b"SUMS" + b"tail"
+    got = normalize.normalize_pe(b"cut here" + head)
+    assert got == (b"cut here" + head).replace(b"TIME", bytes(4)).replace(b"SUMS", bytes(4))
+    short = head[:20] + (60).to_bytes(2, "little") + head[22:]
+    assert normalize.normalize_pe(short) == short.replace(b"TIME", bytes(4))
+    for other in (head.replace(b"PE\0\0d", b"PE\0\0e"), head[:6] + (97).to_bytes(2, "little") + head[8:], head[:24] + b"\x01\x01" + head[26:]):
+        assert normalize.normalize_pe(other) == other
+
+
+def test_ranges_over_many_stretches(spark):
+    r = random.Random(5)
+    rows = [(a, a + r.choice((0, 1, 5, 60, 900))) for a in (r.randrange(20_000) for _ in range(900))]
+    d = spark.createDataFrame(rows, "range_start long, range_end long").repartition(7)
+    inside = sorted({x for a, b in rows for x in range(a, b)})
+    islands = [[inside[0], inside[0] + 1]]
+    for x in inside[1:]:
+        if x == islands[-1][1]:
+            islands[-1][1] += 1
+        else:
+            islands.append([x, x + 1])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        assert sorted(map(list, ranges.coalesce_ranges(d).collect())) == islands
+        assert sorted(map(list, ranges.gaps(d).collect())) == [[a[1], b[0]] for a, b in zip(islands, islands[1:], strict=False)]
+        assert ranges.covered(d).first()[0] == len(inside)
+    finally:
+        spark.conf.unset(key)
+    assert ranges.coalesce_ranges(d.limit(0)).collect() == [] and ranges.covered(d.limit(0)).first()[0] == 0
+
+
+def test_exclusions_have_one_outcome_each(spark):
+    ex = spark.createDataFrame([(1, "C:", "Temp"), (2, "C:", "temp/Big"), (3, "D:", "x"), (4, "C:", "gone"), (5, "C:", "pics")], "position int, drive string, rel string")
+    vols = spark.createDataFrame([("v1", "c:\\", "ntfs"), ("v2", "D:", "ext4"), ("v3", None, "ntfs")], "volume string, letter string, filesystem string")
+    extents = "array<struct<volume_offset:long,length:long>>"
+    files = spark.createDataFrame([("v1", "TEMP/a", [(0, 10)]), ("v1", "temp/big/b", [(5, 10), (100, 5)]), ("v1", "pics/c", [(8, 20)]), ("v1", "temporary", [(500, 9)]), ("v3", "x/y", [(1, 2)])], f"volume string, path string, extents {extents}")
+    got = {(r.volume, r.position): (r.status, r.bytes) for r in ranges.apply_exclusions(ex, vols, files).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "v1"} == {1: ("applied", 20), 2: ("applied", 0), 3: ("not-on-volume", 0), 4: ("not-found", 0), 5: ("applied", 13)}
+    assert {k[1]: v[0] for k, v in got.items() if k[0] == "v2"} == {1: "not-on-volume", 2: "not-on-volume", 3: "unsupported-filesystem", 4: "not-on-volume", 5: "not-on-volume"}
+    assert got["v3", 3] == ("applied", 2) and got["v3", 1] == ("not-found", 0) and len(got) == 15
+
+
 def test_bloom_filter(spark):
     from chunkloom.operators import bloom
 
-    d = spark.range(20000).select(F.col("id"), F.col("id").cast("string").alias("s"))
+    d = spark.range(20000).select(F.col("id"), F.xxhash64("id").alias("s"))
+    got = d.limit(50).select("s", bloom.positions(F.col("s"), 6400).alias("p"), scalars.mix64(F.col("s")).alias("m")).collect()
+    for r in got:
+        x = r.s % 2**64
+        m = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        m = (m ^ m >> 27) * 0x94D049BB133111EB % 2**64
+        m ^= m >> 31
+        assert r.m % 2**64 == m and r.p == [(x + i * m + i * i) % 2**64 % 6400 for i in range(7)]
     bits = bloom.bits_for(10000, 0.01)
     words = bloom.build(d.where("id < 10000"), "s", bits)
     got = bloom.maybe(d, "s", words, bits).groupBy((F.col("id") < 10000).alias("inside")).agg(F.sum(F.col("maybe").cast("int")).alias("n")).collect()
