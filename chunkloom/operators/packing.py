@@ -10,6 +10,8 @@ from chunkloom.operators.dedup import next_pack
 
 #: Every writer has pack numbers of its own, so writers run side by side.
 PACKS_PER_WRITER = 1 << 24
+#: Packs that one writer of `place` fills, about; its group holds hashes and sizes only.
+PACKS_A_WRITER, PART_BITS = 64, 44
 FRAME_HEADER = 8
 
 
@@ -36,3 +38,12 @@ def compact(live: DataFrame, partitions: int, maximum: int) -> DataFrame:
     """Survivors in (pack, offset) order in new packs: whole ranges of old packs go to one writer, read in storage order."""
     w = live.withColumn("writer", F.pmod(F.xxhash64("pack_no"), F.lit(partitions)).cast("long")).withColumnsRenamed({"pack_no": "old_pack", "store_offset": "old_offset"}).withColumn("length", F.col("chunk_length"))
     return assign_packs(w, "writer", ["old_pack", "old_offset"], maximum).drop("writer", "length")
+
+
+def place(chunks: DataFrame, part: int, maximum: int) -> DataFrame:
+    """strong, pack_no, store_offset of different chunks (strong, length): next-fit packs of `maximum` bytes by as many writers as the
+    bytes need. Pack numbers of a part of the store begin at part << PART_BITS, so parts share none."""
+    total = chunks.agg(F.sum("length")).first()[0] or 0
+    writers = max(1, -(-total // (PACKS_A_WRITER * maximum)))
+    dealt = chunks.select("strong", "length", F.pmod(F.xxhash64("strong"), F.lit(writers)).cast("long").alias("writer"))
+    return assign_packs(dealt, "writer", ["strong"], maximum).select("strong", (F.col("pack_no") + F.lit(part << PART_BITS)).alias("pack_no"), "store_offset")

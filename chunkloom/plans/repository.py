@@ -1,20 +1,23 @@
-"""A store of backups as versioned Parquet tables, and the jobs over it: backup, verify, restore, forget, prune, export, import.
+"""A store of backups, and the jobs over it: backup, verify, restore, forget, prune, export, import.
 
-A table's version is a folder that Spark commits as a whole (_SUCCESS comes last); readers take the newest committed one,
-so a job that dies in between changes nothing, and what it left is removed by the next. Metadata of a backup is written
-last: it makes the backup visible.
+A job writes folders of its own and then one commit file, which names every folder of every table: readers take the newest
+commit, so a job that dies anywhere changes nothing, and what it left is removed by `recover`. Folders are never changed.
+A backup adds folders; forgetting and pruning rewrite only the folders that hold something to drop. One job writes at a time;
+a second one finds its commit's number taken and fails.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.functions import scalars as S
-from chunkloom.operators import chunking, closure, dedup, manifest, prune, restore, retention, verify
+from chunkloom.operators import chunking, closure, dedup, manifest, packing, prune, restore, retention, verify
 from chunkloom.storage import ship, staged
 
 SCHEMAS = {
@@ -23,6 +26,8 @@ SCHEMAS = {
     "entries": "backup_id string, object_id long, seq long, volume_offset long, chunk_length long, chunk_hash string, is_excluded boolean",
     "backups": "backup_id string, source string, status string, started_at timestamp_ntz, completed_at timestamp_ntz, timestamp timestamp_ntz, parent_id string, snapshot_id string, total_bytes long, new_chunks long",
 }
+#: Commits whose folders stay, for readers that are under way.
+KEEP = 2
 
 
 @dataclass
@@ -35,97 +40,126 @@ class Repository:
     def __post_init__(self) -> None:
         ship(self.spark)
 
-    # versions
+    # commits
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self, name: str) -> list[tuple[int, bool]]:
-        """(number, committed) of a table's versions."""
-        fs, at = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not fs.exists(at):
-            return []
-        found = (re.fullmatch(r"v(\d+)", s.getPath().getName()) for s in fs.listStatus(at))
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted((int(m[1]), fs.exists(path(f"{self.path}/{name}/v{m[1]}/_SUCCESS"))) for m in found if m)
-
-    def read(self, name: str) -> DataFrame:
-        """The newest committed version; an empty table if there is none."""
-        done = [n for n, ok in self._versions(name) if ok]
-        if not done:
+        return self._at("commits").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _list(self, name: str) -> list[str]:
+        fs, at = self._fs(), self._at(name)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _commits(self) -> list[int]:
+        return [int(m[1]) for x in self._list("commits") if (m := re.fullmatch(r"c(\d+)\.json", x))]
+
+    def _load(self, number: int) -> dict:
+        stream = self._fs().open(self._at(f"commits/c{number:08d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def state(self) -> dict:
+        """The newest commit. Of each table its folders: of chunks and index with the parts of the store that they hold, of entries with their backups."""
+        n = max(self._commits(), default=0)
+        return self._load(n) if n else {"number": 0, "next_part": 1, "index": {}, "chunks": {}, "entries": {}, "backups": {}}
+
+    def commit(self, state: dict) -> None:
+        """Makes a state the newest, at once: the file appears under its name when it is whole."""
+        number = state["number"] + 1
+        fs, new, at = self._fs(), self._at(f"commits/.{uuid.uuid4().hex}"), self._at(f"commits/c{number:08d}.json")
+        out = fs.create(new, False)
+        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
+        out.close()
+        if fs.exists(at) or not fs.rename(new, at):
+            raise RuntimeError(f"another job has made commit {number}")
+
+    def recover(self) -> None:
+        """Removes folders that none of the last commits names, and older commits."""
+        numbers = self._commits()[-KEEP:]
+        named = {f for n in numbers for t in SCHEMAS for f in self._load(n)[t]}
+        for t in SCHEMAS:
+            for x in self._list(t):
+                if f"{t}/{x}" not in named:
+                    self._fs().delete(self._at(f"{t}/{x}"), True)
+        for x in self._list("commits"):
+            if x not in {f"c{n:08d}.json" for n in numbers}:
+                self._fs().delete(self._at(f"commits/{x}"), False)
+
+    def read(self, name: str, folders: list[str] | None = None) -> DataFrame:
+        """A table of the newest commit, or some of its folders; an empty table if there are none."""
+        folders = list(self.state()[name]) if folders is None else folders
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/v{done[-1]:08d}")
-
-    def publish(self, name: str, df: DataFrame, keep: int = 2) -> None:
-        """A new version of a table; uncommitted and older ones than the last `keep` go."""
-        self.recover(name)
-        n = max((v for v, _ in self._versions(name)), default=0) + 1
-        df.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.parquet(f"{self.path}/{name}/v{n:08d}")
-        for v, _ in self._versions(name)[:-keep]:
-            self._delete(name, v)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path}/{f}" for f in folders))
 
-    def recover(self, name: str) -> None:
-        for v, ok in self._versions(name):
-            if not ok:
-                self._delete(name, v)
-
-    def _delete(self, name: str, version: int) -> None:
-        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/v{version:08d}"), True)
+    def write(self, name: str, df: DataFrame) -> str:
+        """A new folder of a table, which no commit names yet."""
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.parquet(f"{self.path}/{folder}")
+        return folder
 
     # jobs
 
+    def _store(self, state: dict, new: DataFrame) -> None:
+        """Adds chunks (strong, length, data) that the index lacks as a new part; the data is not in any window."""
+        part = state["next_part"]
+        at = staged(packing.place(new, part, self.geometry.pack), "placed")
+        placed = new.select("strong", "data", F.col("length").cast("long").alias("chunk_length")).join(at, "strong")
+        state["chunks"][self.write("chunks", placed)] = [part]
+        state["index"][self.write("index", placed)] = [part]
+        state["next_part"] = part + 1
+
     def backup(self, objects: DataFrame, backup_id: str, source: str, at, parent_id: str | None = None, snapshot_id: str | None = None) -> DataFrame:
-        """Chunks the objects, stores what the index lacks, then the manifest, then the metadata. Returns the run's figures."""
+        """Chunks the objects, stores what the index lacks, and commits it with the manifest and metadata. Returns the run's figures."""
+        state = self.state()
+        if set(sum(state["chunks"].values(), [])) != set(sum(state["index"].values(), [])):
+            raise ValueError("chunks without an index: a backup would store them again; rebuild the index first")
         c = staged(chunking.chunk(objects, self.geometry, self.normalizers, with_data=True), "backup-chunks")
-        index = self.read("index")
         first = dedup.first_occurrence(c)
-        new = staged(dedup.against_index(first.where("is_first"), index).where("status = 'new'"), "backup-new")
-        base = (index.agg(F.max("pack_no")).first()[0] or 0) + 1
-        placed = new.select("strong", (F.lit(base) + F.pmod(F.xxhash64("strong"), F.lit(64))).alias("pack_no"), F.col("object_id").alias("o"), "seq", F.col("length").cast("long").alias("chunk_length"), "data")
-        from pyspark.sql import Window as W
-
-        before = W.partitionBy("pack_no").orderBy("o", "seq").rowsBetween(W.unboundedPreceding, -1)
-        placed = staged(placed.withColumn("store_offset", F.coalesce(F.sum("chunk_length").over(before), F.lit(0))), "backup-placed")
-        self.publish("chunks", self.read("chunks").unionByName(placed.select("pack_no", "store_offset", "strong", "data")))
-        self.publish("index", index.unionByName(placed.select("strong", "pack_no", "store_offset", "chunk_length")))
+        new = staged(dedup.against_index(first.where("is_first"), self.read("index")).where("status = 'new'").select("strong", "length", "data"), "backup-new")
+        n = new.count()
+        if n:
+            self._store(state, new)
         e = c.select(F.lit(backup_id).alias("backup_id"), "object_id", F.col("seq").cast("long").alias("seq"), F.col("offset").alias("volume_offset"), F.col("length").cast("long").alias("chunk_length"), F.col("strong").alias("chunk_hash"), F.lit(False).alias("is_excluded"))
-        self.publish("entries", self.read("entries").unionByName(e))
-        stats = dedup.run_stats(first)
-        total = c.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_bytes")).withColumn("new_chunks", F.lit(new.count()).cast("long"))
+        state["entries"][self.write("entries", e)] = [backup_id]
+        total = c.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_bytes")).withColumn("new_chunks", F.lit(n).cast("long"))
         ts = F.lit(at).cast("timestamp_ntz")
         meta = total.select(F.lit(backup_id).alias("backup_id"), F.lit(source).alias("source"), F.lit("completed").alias("status"), ts.alias("started_at"), ts.alias("completed_at"), ts.alias("timestamp"), F.lit(parent_id).cast("string").alias("parent_id"), F.lit(snapshot_id).cast("string").alias("snapshot_id"), "total_bytes", "new_chunks")
-        self.publish("backups", self.read("backups").unionByName(meta))
-        return stats
+        state["backups"][self.write("backups", meta)] = []
+        self.commit(state)
+        return dedup.run_stats(first)
 
     def verify(self, backup_id: str, percent: float = 100.0, seed: int = 0) -> DataFrame:
         """Every selected entry with its status; damaged chunks show, nothing stops at the first."""
         e = self.read("entries").where(F.col("backup_id") == backup_id)
         e = e.withColumn("idx", F.row_number().over(_manifest_order()) - 1)
         e = verify.sample_entries(e, percent, seed, index="idx")
-        chunks = self.read("chunks")
-        if self.normalizers:
-            from chunkloom.functions.normalize import normalizer
-
-            identity = normalizer(list(self.normalizers))(F.col("data"))
-        else:
-            identity = F.col("data")
+        chunks, identity = self.read("chunks"), self._identity()
         return verify.verify_entries(e, self.read("index"), chunks.select("pack_no", "store_offset", S.strong_hash(identity).alias("actual_hash"), F.octet_length("data").cast("long").alias("actual_length")))
 
     def restore(self, backup_id: str) -> DataFrame:
-        """object_id, content of a backup. A hash that the index lacks, or a chunk that isn't what its name says, is an error."""
+        """object_id, content of a backup; excluded chunks are zeros. A hash that the index lacks, or a chunk that isn't what its name says, is an error."""
         bad = self.verify(backup_id).where("status NOT IN ('ok', 'excluded')")
         if not bad.isEmpty():
             raise ValueError(f"backup {backup_id}: {bad.count()} entries can't be restored")
         e = restore.locate(self.read("entries").where(F.col("backup_id") == backup_id), self.read("index"))
-        j = e.join(self.read("chunks").select("pack_no", "store_offset", "data"), ["pack_no", "store_offset"])
-        parts = F.array_sort(F.collect_list(F.struct("seq", F.hex("data").alias("h"))))
+        j = e.join(self.read("chunks").select("pack_no", "store_offset", F.col("strong").alias("chunk_hash"), "data"), ["pack_no", "store_offset", "chunk_hash"], "left")
+        piece = F.when(F.col("is_excluded"), F.expr("repeat('00', cast(chunk_length as int))")).otherwise(F.hex("data"))
+        parts = F.array_sort(F.collect_list(F.struct("seq", piece.alias("h"))))
         return j.groupBy("object_id").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("content"))
 
     def forget(self, policy: retention.KeepPolicy, now, dry_run: bool = False) -> DataFrame:
-        """backup_id, reasons of what goes (reasons null) and stays. Refuses to delete everything; what kept ones refer to stays."""
+        """backup_id, reasons of what goes (reasons null) and stays. Refuses to delete everything, and while a manifest can't be read; what kept ones refer to stays."""
+        state = self.state()
         b = staged(self.read("backups"), "backups")
         ids = b.select(F.col("backup_id").alias("id"))
+        lost = b.where("total_bytes > 0").join(self.read("entries").select("backup_id").distinct(), "backup_id", "left_anti")
+        if not lost.isEmpty():
+            raise ValueError("manifests can't be read, so what they refer to isn't known; nothing was forgotten")
         kept = staged(retention.keep_reasons(b, policy, F.lit(now).cast("timestamp_ntz")), "forget-kept")
         safe, _ = closure.protect(ids, kept.select(F.col("backup_id").alias("id")), closure.reference_edges(b))
         plan = b.select("backup_id", "timestamp").join(safe.withColumnRenamed("id", "backup_id"), "backup_id", "left").join(kept, "backup_id", "left")
@@ -134,17 +168,32 @@ class Repository:
             raise ValueError("the policy would delete every backup")
         if not dry_run:
             stay = plan.where("reasons is not null").select("backup_id")
-            self.publish("backups", b.join(stay, "backup_id", "left_semi"))
-            self.publish("entries", staged(self.read("entries").join(stay, "backup_id", "left_semi"), "entries"))
+            gone = {r["backup_id"] for r in plan.where("reasons is null").select("backup_id").collect()}  # names of backups
+            old = {f: x for f, x in state["entries"].items() if gone.intersection(x)}
+            left = sorted({i for x in old.values() for i in x} - gone)
+            state["entries"] = {f: x for f, x in state["entries"].items() if f not in old}
+            if left:
+                state["entries"][self.write("entries", self.read("entries", list(old)).join(stay, "backup_id", "left_semi"))] = left
+            state["backups"] = {self.write("backups", b.join(stay, "backup_id", "left_semi").coalesce(1)): []}
+            self.commit(state)
         return plan.orderBy(F.desc("timestamp"), F.desc("backup_id"))
 
     def prune(self) -> DataFrame:
-        """Drops chunks that no manifest names and second copies; returns the figures."""
-        state = staged(prune.classify(self.read("index"), prune.referenced_hashes(self.read("entries"))), "prune")
-        live = prune.survivors(state)
-        self.publish("chunks", staged(self.read("chunks").join(live.select("pack_no", "store_offset"), ["pack_no", "store_offset"], "left_semi"), "prune-chunks"))
-        self.publish("index", live)
-        return prune.stats(state)
+        """Drops chunks that no manifest names and second copies, by rewriting the folders that hold any; returns the figures."""
+        state = self.state()
+        classes = staged(prune.classify(self.read("index"), prune.referenced_hashes(self.read("entries"))), "prune")
+        part = F.shiftright("pack_no", packing.PART_BITS)
+        dead = {r["part"] for r in classes.where("state <> 'live'").select(part.alias("part")).distinct().collect()}  # a part a backup
+        live = prune.survivors(classes)
+        for name in ("chunks", "index"):
+            old = {f: x for f, x in state[name].items() if dead.intersection(x)}
+            if old:
+                kept = self.read(name, list(old)).join(live.select("pack_no", "store_offset", "strong"), ["pack_no", "store_offset", "strong"], "left_semi")
+                state[name] = {f: x for f, x in state[name].items() if f not in old}
+                state[name][self.write(name, kept)] = sorted(sum(old.values(), []))
+        if dead:
+            self.commit(state)
+        return prune.stats(classes)
 
     def export(self, backup_ids: list[str], target: str) -> None:
         """A folder of its own with the backups, all that they refer to, and the chunks they need."""
@@ -158,26 +207,31 @@ class Repository:
         b.join(seen, "backup_id", "left_semi").write.parquet(f"{target}/backups")
 
     def import_(self, archive: str) -> DataFrame:
-        """Checks every chunk of an archive, appends those that are missing, then installs its backups. Returns counts of actions."""
-        frames = self.spark.read.parquet(f"{archive}/chunks").select("strong", "data", S.strong_hash(F.col("data")).alias("actual_hash"))
-        index = self.read("index")
-        plan = staged(restore.import_plan(frames, index).join(frames.select("strong", "data"), "strong"), "import")
+        """Checks every chunk of an archive, adds those that are missing and its backups, in one commit. Returns counts of actions."""
+        state = self.state()
+        frames = self.spark.read.parquet(f"{archive}/chunks").select("strong", "data", S.strong_hash(self._identity()).alias("actual_hash"))
+        plan = staged(restore.import_plan(frames, self.read("index")).join(frames.select("strong", F.octet_length("data").cast("long").alias("length"), "data"), "strong"), "import")
         if not plan.where("action = 'corrupt'").isEmpty():
             raise ValueError("the archive holds damaged chunks; nothing was imported")
-        base = (index.agg(F.max("pack_no")).first()[0] or 0) + 1
-        from pyspark.sql import Window as W
-
-        size = F.octet_length("data").cast("long")
-        new = plan.where("action = 'append'").withColumn("pack_no", F.lit(base) + F.pmod(F.xxhash64("strong"), F.lit(64))).withColumn("chunk_length", size)
-        new = staged(new.withColumn("store_offset", F.coalesce(F.sum("chunk_length").over(W.partitionBy("pack_no").orderBy("strong").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "import-new")
-        self.publish("chunks", self.read("chunks").unionByName(new.select("pack_no", "store_offset", "strong", "data")))
-        self.publish("index", index.unionByName(new.select("strong", "pack_no", "store_offset", "chunk_length")))
-        for name, key in (("entries", "backup_id"), ("backups", "backup_id")):
-            mine = self.read(name)
-            theirs = self.spark.read.parquet(f"{archive}/{name}").join(mine.select(key).distinct(), key, "left_anti")
-            self.publish(name, staged(mine.unionByName(theirs), name))
+        new = plan.where("action = 'append'").select("strong", "length", "data")
+        if not new.isEmpty():
+            self._store(state, new)
+        theirs = staged(self.spark.read.schema(SCHEMAS["backups"]).parquet(f"{archive}/backups").join(self.read("backups").select("backup_id"), "backup_id", "left_anti"), "import-backups")
+        ids = sorted(r["backup_id"] for r in theirs.select("backup_id").collect())  # names of backups
+        if ids:
+            state["entries"][self.write("entries", self.spark.read.schema(SCHEMAS["entries"]).parquet(f"{archive}/entries").join(theirs.select("backup_id"), "backup_id", "left_semi"))] = ids
+            state["backups"][self.write("backups", theirs)] = []
+        self.commit(state)
         return plan.groupBy("action").agg(F.count("*").alias("n"))
 
+    def _identity(self):
+        """The bytes of `data` whose hash is a chunk's name."""
+        if not self.normalizers:
+            return F.col("data")
+        from chunkloom.functions.normalize import normalizer
+
+        return normalizer(list(self.normalizers))(F.col("data"))
+
 
 def _manifest_order():
     from pyspark.sql import Window as W

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chunkloom.operators import chunking, dedup, index
+from chunkloom.operators import chunking, dedup, index, packing
 from chunkloom.storage import staged
 
 DELTA = "strong string, weak long, pack_no long, store_offset long, chunk_length long, seq long, batch_no long"
@@ -34,10 +34,10 @@ def ingest(objects: DataFrame, store: str, checkpoint: str, geometry: chunking.G
         known = deltas(spark, store).where(F.col("batch_no") != number)  # this one's own, from an earlier try, doesn't count
         first = dedup.first_occurrence(c).where("is_first")
         new = dedup.against_index(first, known).where("status = 'new'")
-        placed = new.select("strong", "weak", F.lit(number).cast("long").alias("pack_no"), (F.col("object_id") * (1 << 20) + F.col("seq")).alias("store_offset"), F.col("length").cast("long").alias("chunk_length"), F.col("object_id").alias("seq"), "data")
-        placed = staged(placed, "ingest-new")
+        new = staged(new.select("strong", "weak", F.col("length").cast("long").alias("chunk_length"), F.col("length"), F.col("object_id").alias("seq"), "data"), "ingest-fresh")
+        placed = staged(new.drop("length").join(packing.place(new, number, geometry.pack), "strong"), "ingest-new")
         placed.select("pack_no", "store_offset", "strong", "data").write.mode("overwrite").parquet(f"{store}/chunks/batch_no={number}")
-        placed.drop("data").write.mode("overwrite").parquet(f"{store}/delta/batch_no={number}")
+        placed.select("strong", "weak", "pack_no", "store_offset", "chunk_length", "seq").write.mode("overwrite").parquet(f"{store}/delta/batch_no={number}")
         c.drop("data").write.mode("overwrite").parquet(f"{store}/entries/batch_no={number}")
 
     writer = objects.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

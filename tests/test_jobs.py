@@ -50,13 +50,77 @@ def test_lifecycle(spark, tmp_path):
     assert {r.object_id: bytes(r.content) for r in repo.restore("b1").collect()} == {1: a, 2: b, 3: a}
     # damage shows
     bad = repo.read("chunks").withColumn("data", F.when(F.col("strong") == repo.read("chunks").first().strong, F.lit(b"xx")).otherwise(F.col("data")))
-    repo.publish("chunks", staged(bad, "damaged"))
+    state = repo.state()
+    repo.commit(state | {"chunks": {repo.write("chunks", bad): sum(state["chunks"].values(), [])}})
     assert "hash-mismatch" in {r.status for r in repo.verify("b1").union(repo.verify("b2")).collect()}
-    # a version that was never committed is not read and goes
-    (tmp_path / "repo/index/v00000099").mkdir()
-    assert repo.read("index").count() > 0
-    repo.recover("index")
-    assert not (tmp_path / "repo/index/v00000099").exists()
+    # folders that no commit names are not read and go
+    repo.write("index", repo.read("index"))
+    n = repo.read("index").count()
+    repo.recover()
+    assert repo.read("index").count() == n and len(list((tmp_path / "repo/index").iterdir())) <= 2 * len(repo.state()["index"])
+    with pytest.raises(RuntimeError):
+        repo.commit(state)  # of another job
+
+
+def test_a_job_that_dies_between_two_writes_changes_nothing(spark, tmp_path, monkeypatch):
+    """Each job dies before each of its writes and its commit; then the same content is backed up, verified and restored."""
+    rnd = random.Random(4)
+    a, b, c, d = (rnd.randbytes(9000) for _ in range(4))
+    repo = Repository(spark, f"file://{tmp_path}/repo")
+    repo.backup(objects(spark, [(1, a), (2, b), (3, d)]), "b1", "old", "2023-01-01 00:00:00")
+    repo.backup(objects(spark, [(1, b)]), "b2", "new", "2024-01-01 00:00:00")
+    repo.export(["b1"], f"file://{tmp_path}/archive")
+    keep = retention.KeepPolicy(last=2)
+    jobs = {"backup": lambda r: r.backup(objects(spark, [(1, c), (2, a)]), "b9", "x", "2024-02-01 00:00:00"), "forget": lambda r: r.forget(keep, "2024-03-01 00:00:00"), "prune": lambda r: r.prune(), "import": lambda r: r.import_(f"file://{tmp_path}/archive")}
+    write, commit = Repository.write, Repository.commit
+    for name, job in jobs.items():
+        for k in range(6):
+            at, left = repo.state(), [k]
+
+            def dies(f, left=left):
+                def run(self, *x):
+                    if not left[0]:
+                        raise OSError("lost")
+                    left[0] -= 1
+                    return f(self, *x)
+
+                return run
+
+            monkeypatch.setattr(Repository, "write", dies(write))
+            monkeypatch.setattr(Repository, "commit", dies(commit))
+            try:
+                job(repo)
+                died = False
+            except OSError:
+                died = True
+            monkeypatch.undo()
+            if not died:
+                break
+            assert repo.state() == at
+        if name == "backup":
+            assert {r.object_id: bytes(r.content) for r in repo.restore("b9").collect()} == {1: c, 2: a}
+        assert k > 0 and {r.status for r in repo.verify("b2").collect()} == {"ok"}
+    repo.backup(objects(spark, [(1, a), (2, c), (3, rnd.randbytes(5000))]), "b5", "y", "2024-04-01 00:00:00")
+    repo.recover()
+    assert {r.object_id: bytes(r.content) for r in repo.restore("b5").where("object_id < 3").collect()} == {1: a, 2: c}
+    assert {r.object_id: bytes(r.content) for r in repo.restore("b1").collect()} == {1: a, 2: b, 3: d}
+    places = repo.read("chunks").groupBy("pack_no", "store_offset").count()
+    assert places.where("count > 1").isEmpty()
+
+
+def test_excluded_chunks_are_zeros_and_lost_manifests_stop_forgetting(spark, tmp_path):
+    rnd = random.Random(6)
+    repo = Repository(spark, f"file://{tmp_path}/repo")
+    repo.backup(objects(spark, [(1, rnd.randbytes(6000))]), "b1", "s", "2024-01-01 00:00:00")
+    state = repo.state()
+    e = repo.read("entries").withColumn("is_excluded", F.col("seq") == 1)
+    cut = e.where("seq = 1").first()
+    repo.commit(state | {"entries": {repo.write("entries", e): ["b1"]}})
+    got = bytes(repo.restore("b1").first().content)
+    assert len(got) == 6000 and got[cut.volume_offset : cut.volume_offset + cut.chunk_length] == bytes(cut.chunk_length)
+    repo.commit(repo.state() | {"entries": {}})
+    with pytest.raises(ValueError):
+        repo.forget(retention.KeepPolicy(last=1), "2024-02-01 00:00:00")
 
 
 def test_empty_policy_is_refused(spark):
