@@ -332,22 +332,25 @@ def export_set(spark, sf):
     return restore.export_chunks(seen, T.entries(spark, sf))
 
 
-@query(f"""WITH {_IX}, f AS (SELECT DISTINCT strong, CASE WHEN pack_no % 10 = 0 THEN 'bad' ELSE strong END AS actual_hash FROM ix WHERE pack_no % 10 < 3), k AS (SELECT DISTINCT strong FROM ix WHERE pack_no % 10 = 5)
+@query(f"""WITH {_IX}, f AS (SELECT DISTINCT strong, CASE WHEN pack_no % 10 = 0 THEN 'bad' ELSE strong END AS actual_hash FROM ix), k AS (SELECT DISTINCT strong FROM ix WHERE delta_name = '1')
 SELECT strong, CASE WHEN actual_hash <> strong THEN 'corrupt' WHEN strong IN (SELECT strong FROM k) THEN 'present' ELSE 'append' END AS action FROM f""")
 def import_plan(spark, sf):
+    """All index rows as frames of an archive, those of pack numbers divisible by 10 damaged, against the base index."""
     x = T.index_rows(spark, sf)
-    frames = x.where("pack_no % 10 < 3").select("strong", F.when(F.col("pack_no") % 10 == 0, "bad").otherwise(F.col("strong")).alias("actual_hash")).distinct()
-    return restore.import_plan(frames, x.where("pack_no % 10 = 5"))
+    frames = x.select("strong", F.when(F.col("pack_no") % 10 == 0, "bad").otherwise(F.col("strong")).alias("actual_hash")).distinct()
+    return restore.import_plan(frames, x.where("delta_name = '1'"))
 
 
 # reclaiming
 
-_CLS = f"""{_IX}, {_EN}, us AS (SELECT DISTINCT chunk_hash FROM en WHERE backup_id::BIGINT % 50 = 0),
+_CLS = f"""{_IX}, {_EN}, us AS (SELECT DISTINCT chunk_hash FROM en JOIN orders ON backup_id = o_orderkey::VARCHAR WHERE o_orderstatus = 'P'),
 cl AS (SELECT ix.*, CASE WHEN strong NOT IN (SELECT chunk_hash FROM us) THEN 'orphan' WHEN (pack_no, store_offset) = (min(row(pack_no, store_offset)) OVER (PARTITION BY strong)) THEN 'live' ELSE 'duplicate' END AS state FROM ix)"""
 
 
 def _classified(spark, sf):
-    used = prune.referenced_hashes(T.entries(spark, sf).where("cast(backup_id as bigint) % 50 = 0"))
+    """Only the running backups are left."""
+    running = T.backups(spark, sf).where("status = 'running'").select("backup_id")
+    used = prune.referenced_hashes(T.entries(spark, sf).join(running, "backup_id", "left_semi"))
     return prune.classify(T.index_rows(spark, sf), used)
 
 
@@ -361,10 +364,10 @@ def prune_survivors(spark, sf):
     return prune.survivors(_classified(spark, sf)).select("strong", "pack_no", "store_offset", "chunk_length")
 
 
-@query(f"WITH {_EN}, {_OBJ} SELECT DISTINCT chunk_hash AS strong FROM en UNION SELECT strong FROM objs WHERE object_id < 50")
+@query(f"WITH {_EN}, {_OBJ} SELECT DISTINCT chunk_hash AS strong FROM en UNION SELECT strong FROM objs")
 def referenced_hashes(spark, sf):
     """With the hashes of a suspended run."""
-    return prune.referenced_hashes(T.entries(spark, sf), T.whole_objects(spark, sf).where("object_id < 50"))
+    return prune.referenced_hashes(T.entries(spark, sf), T.whole_objects(spark, sf))
 
 
 # integrity
@@ -411,12 +414,12 @@ def locate_entries(spark, sf):
     return restore.fetch_order(located, 8).select("backup_id", "seq", "pack_no", "store_offset", "found")
 
 
-@query("SELECT 'doc' || doc_id AS path, hex(encode(substring(text, 11, 80))) AS content, octet_length(encode(text)) >= 90 AS complete FROM (SELECT doc_id, CASE WHEN len(text) = strlen(text) THEN text ELSE 'ascii only' END AS text FROM documents) WHERE strlen(text) > 20")
+@query("SELECT 'doc' || doc_id AS path, substring(hex(encode(coalesce(text, ''))), 21, 160) AS content, octet_length(encode(coalesce(text, ''))) >= 90 AS complete FROM documents")
 def extract_bytes(spark, sf):
-    """80 bytes from byte 10 of each plain-ASCII document, out of pieces of 32 bytes."""
-    d = table(spark, sf, "documents").select("doc_id", F.when(F.length("text") == F.octet_length("text"), F.col("text")).otherwise("ascii only").alias("text")).where("octet_length(text) > 20")
+    """80 bytes from byte 10 of each document, out of pieces of 32 bytes."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     b = d.select("doc_id", F.col("text").cast("binary").alias("b"))
-    pieces = b.withColumn("i", F.explode(F.sequence(F.lit(0), (F.octet_length("b") - 1).cast("int"), F.lit(32))))
+    pieces = b.where("octet_length(b) > 0").withColumn("i", F.explode(F.sequence(F.lit(0), (F.octet_length("b") - 1).cast("int"), F.lit(32))))
     chunks = pieces.select("doc_id", F.col("i").cast("long").alias("volume_offset"), F.least(F.lit(32), F.octet_length("b") - F.col("i")).cast("long").alias("chunk_length"), F.substring("b", F.col("i") + 1, F.lit(32)).alias("data"))
     files = d.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.lit(10).cast("long").alias("stream_offset"), F.lit(80).cast("long").alias("stream_length"))
     return restore.extract(files, chunks, 64, ("doc_id",)).select("path", F.hex("content").alias("content"), "complete")
@@ -556,11 +559,11 @@ def correlate_volumes(spark, sf):
     return layout.correlate_volumes(p, v).select("disk_id", "idx", "offset", "length", "volume")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey AS disk_id, l_linenumber AS idx FROM lineitem WHERE l_orderkey % 20 = 0), m AS (SELECT l_suppkey AS disk_id, l_linenumber AS idx, count(*) AS n FROM lineitem WHERE l_orderkey % 20 = 1 GROUP BY 1, 2)
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS disk_id, l_linenumber AS idx FROM lineitem WHERE l_returnflag <> 'R'), m AS (SELECT l_suppkey AS disk_id, l_linenumber AS idx, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
 SELECT coalesce(p.disk_id, m.disk_id) AS disk_id, coalesce(p.idx, m.idx) AS idx, CASE WHEN p.idx IS NULL THEN 'no-partition' WHEN n IS NULL THEN 'no-member' ELSE 'two-members' END AS fault FROM p FULL JOIN m ON p.disk_id = m.disk_id AND p.idx = m.idx WHERE p.idx IS NULL OR n IS NULL OR n > 1""")
 def member_faults(spark, sf):
-    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("disk_id"), F.col("l_linenumber").alias("idx"), "l_orderkey")
-    return layout.member_faults(li.where("l_orderkey % 20 = 0"), li.where("l_orderkey % 20 = 1"))
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("disk_id"), F.col("l_linenumber").alias("idx"), "l_returnflag")
+    return layout.member_faults(li.where("l_returnflag <> 'R'").select("disk_id", "idx").distinct(), li.where("l_returnflag = 'R'"))
 
 
 @query("""WITH p AS (SELECT l_orderkey AS disk_id, l_partkey * 10 AS f, l_partkey * 10 + floor(l_quantity)::BIGINT AS l FROM lineitem), c AS (SELECT disk_id, max(l) OVER w + 1 AS gap_first, lead(f) OVER (PARTITION BY disk_id ORDER BY f) - 1 AS gap_last FROM p WINDOW w AS (PARTITION BY disk_id ORDER BY f, l ROWS UNBOUNDED PRECEDING))
@@ -624,3 +627,107 @@ def bloom_membership(spark, sf):
     bits = bloom.bits_for(max(1, o.count() // 2), 0.01)
     words = staged(bloom.build(o.where("object_id % 2 = 0"), "weak", bits), "bloom")
     return bloom.maybe(staged(o, "bloom-rows"), "weak", words, bits).select("object_id", "maybe")
+
+
+# fixed values, and operators over invented volumes and runs
+
+
+@query("""SELECT * FROM (VALUES ('fine-grained', 4096, 65536, 8191, 536870912), ('mixed', 8192, 262144, 32767, 134217728), ('low-footprint', 16384, 524288, 65535, 134217728), ('coarse', 32768, 1048576, 131071, 268435456), ('archive', 262144, 8388608, 1048575, 1073741824)) v(name, minimum, maximum, mask, pack)""")
+def profiles(spark, sf):
+    return spark.createDataFrame([(k, g.minimum, g.maximum, g.mask, g.pack) for k, g in chunking.PROFILES.items()], "name string, minimum int, maximum int, mask int, pack int")
+
+
+_GUIDS = {"ESP": "C12A7328-F81F-11D2-BA4B-00A0C93EC93B", "MSR": "E3C9E316-0B5C-4DB8-817D-F92DF00215AE", "data": "EBD0A0A2-B9E5-4433-87C0-68B6B72699C7", "bios": "21686148-6449-6e6f-744e-656564454649", "ldm": "5808C8AA-7E8F-42E0-85D2-E1E90434CFB3", "re": "DE94BBA4-06D1-4D40-A16A-BFD50179D6AC", "other": "00000000-0000-0000-0000-000000000001"}
+
+
+@query("""WITH g AS (SELECT s_suppkey, (s_suppkey % 7)::INT AS k FROM supplier) SELECT s_suppkey, CASE k WHEN 0 THEN 'EFI System' WHEN 1 THEN 'Microsoft Reserved' WHEN 2 THEN 'Basic Data' WHEN 3 THEN 'BIOS Boot' WHEN 4 THEN 'Windows LDM' WHEN 5 THEN 'Windows RE' ELSE '00000000-0000-0000-0000-000000000001' END AS name FROM g""")
+def partition_names(spark, sf):
+    guid = F.element_at(F.array(*map(F.lit, _GUIDS.values())), (F.col("s_suppkey") % 7 + 1).cast("int"))
+    return table(spark, sf, "supplier").select("s_suppkey", S.type_name(guid).alias("name"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 1000003 + l_partkey)::UHUGEINT AS x FROM lineitem),
+b AS (SELECT *, xor(x::UBIGINT, x::UBIGINT >> 30) AS y FROM a),
+c AS (SELECT *, ((y % 4294967296)::UHUGEINT * 13787848793156543929::UHUGEINT + (((y >> 32)::UHUGEINT * 13787848793156543929::UHUGEINT) % 4294967296) * 4294967296) % 18446744073709551616::UHUGEINT AS z FROM b),
+d AS (SELECT *, xor(z::UBIGINT, z::UBIGINT >> 27) AS y2 FROM c),
+e AS (SELECT *, ((y2 % 4294967296)::UHUGEINT * 10723151780598845931::UHUGEINT + (((y2 >> 32)::UHUGEINT * 10723151780598845931::UHUGEINT) % 4294967296) * 4294967296) % 18446744073709551616::UHUGEINT AS z2 FROM d)
+SELECT l_orderkey, l_linenumber, upper(lpad(to_hex(xor(z2::UBIGINT, z2::UBIGINT >> 31)), 16, '0')) AS mixed FROM e""")
+def mixed_hashes(spark, sf):
+    x = (F.col("l_orderkey") * 1000003 + F.col("l_partkey")).cast("long")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lpad(F.hex(S.mix64(x)), 16, "0").alias("mixed"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l <= 1 THEN 'fastest' WHEN l <= 3 THEN 'default' WHEN l <= 6 THEN 'better' ELSE 'best' END AS preset FROM (SELECT l_orderkey, l_linenumber, (l_partkey % 12)::INT AS l FROM lineitem)""")
+def compression_presets(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.compression_preset(F.col("l_partkey") % 12).alias("preset"))
+
+
+@query("""WITH f AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ntfs' WHEN 1 THEN 'ext4' ELSE 'fat32' END AS fs, p_partkey::BIGINT * 77777 AS used, p_partkey::BIGINT * 88888 AS last_end, p_partkey::BIGINT * 80000 + 5000 AS total FROM part)
+SELECT p_partkey, CASE fs WHEN 'ntfs' THEN least((last_end + 1048575) // 1048576 * 1048576, total) WHEN 'ext4' THEN least((used + used // 20 + 1048575) // 1048576 * 1048576, total) END AS minimum FROM f""")
+def minimum_sizes(spark, sf):
+    k = F.col("p_partkey").cast("long")
+    fs = F.when(k % 3 == 0, "ntfs").when(k % 3 == 1, "ext4").otherwise("fat32")
+    return table(spark, sf, "part").select("p_partkey", S.minimum_size(fs, k * 77777, k * 88888, k * 80000 + 5000).alias("minimum"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'input' ELSE 'device' END AS kind, CASE WHEN o_custkey % 2 = 0 THEN 'file' ELSE 'volume' END AS mode FROM orders)
+SELECT o_orderkey, CASE WHEN k = 0 THEN 'source kind changed (' || kind || ' -> other)' WHEN k = 1 THEN 'source path changed (p' || o_custkey || ' -> q' || o_custkey || ')' WHEN k = 2 THEN 'volume changed (C: -> D:)'
+  WHEN k = 3 THEN 'source size changed (' || o_orderkey || ' -> ' || (o_orderkey + 1) || ' bytes)' WHEN k = 4 THEN 'repository chunker/normalizer/encryption config changed' WHEN k = 5 AND kind = 'input' THEN 'input file mtime changed (7 -> 8)'
+  WHEN k = 6 AND mode = 'file' THEN 'source files changed since the backup was suspended (files added, removed, resized, or modified)' ELSE '' END AS reason FROM o""")
+def mismatch_reasons(spark, sf):
+    k, key, cust = F.col("o_orderkey") % 9, F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("string")
+    kind, mode = F.when(key % 2 == 0, "input").otherwise("device"), F.when(F.col("o_custkey") % 2 == 0, "file").otherwise("volume")
+    was = {"source_kind": kind, "source_path": F.concat(F.lit("p"), cust), "volume": F.lit("C:"), "total_size": key, "config_hash": F.lit("c"), "mtime": F.lit(7), "mode": mode, "catalog_hash": F.lit("h")}
+    change = {"source_kind": F.lit("other"), "source_path": F.concat(F.lit("q"), cust), "volume": F.lit("D:"), "total_size": key + 1, "config_hash": F.lit("d"), "mtime": F.lit(8), "catalog_hash": F.lit("i")}
+    now = was | {f: F.when(k == i, v).otherwise(was[f]) for i, (f, v) in enumerate(change.items())}
+    return table(spark, sf, "orders").select("o_orderkey", S.mismatch_reason(was.__getitem__, now.__getitem__).alias("reason"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS n, p_partkey % 8 AS k FROM part) SELECT n * 1000 AS range_start, n * 1000 + 10 + n % 5 AS range_end FROM f WHERE k IN (0, 1, 3, 4) AND n % 3 <> 0""")
+def volatile_ranges(spark, sf):
+    """Parts as files of invented volumes, every third one of another file system; each has an extent and a hole."""
+    k, n = F.col("p_partkey") % 8, F.col("p_partkey").cast("long")
+    path = F.when(k == 0, "/PageFile.sys").when(k == 1, "hiberfil.sys").when(k == 2, "dir/pagefile.sys").when(k == 3, "any").when(k.isin(4, 5), "$Extend\\$UsnJrnl").otherwise("swapfile.sys.bak")
+    extents = F.array(F.struct((n * 1000).alias("volume_offset"), (10 + n % 5).alias("length")), F.struct(F.lit(None).cast("long").alias("volume_offset"), F.lit(99).cast("long").alias("length")))
+    files = table(spark, sf, "part").select(F.when(n % 3 == 0, "ext4").otherwise("ntfs").alias("filesystem"), F.when(k == 3, 2).otherwise(n + 10).alias("record"), path.alias("path"), F.when(k == 4, "$J").alias("stream"), extents.alias("extents"))
+    return ranges.volatile_ranges(files)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role) AS j, coalesce(strlen(text), 0) % 1000 AS n FROM conversations),
+v AS (SELECT * FROM (VALUES ('v0', 'C:', 'ntfs', 0), ('v1', 'D:', 'ext4', 1)) v(volume, letter, fs, m)), e AS (SELECT DISTINCT conv_id, CASE conv_id % 3 WHEN 0 THEN 'C:' WHEN 1 THEN 'D:' ELSE 'E:' END AS drive FROM conversations),
+b AS (SELECT conv_id, sum(n)::BIGINT AS n FROM c GROUP BY 1)
+SELECT volume, e.conv_id AS position, CASE WHEN drive <> letter THEN 'not-on-volume' WHEN fs <> 'ntfs' THEN 'unsupported-filesystem' WHEN e.conv_id % 2 = 0 THEN 'applied' ELSE 'not-found' END AS status, CASE WHEN drive = letter AND fs = 'ntfs' AND e.conv_id % 2 = 0 THEN n ELSE 0 END::BIGINT AS bytes
+FROM e JOIN b ON e.conv_id = b.conv_id, v""")
+def exclusion_outcomes(spark, sf):
+    """Conversations as folders on two volumes, turns as files; every folder is to be excluded, on one drive."""
+    from pyspark.sql import Window as W
+
+    c, i = table(spark, sf, "conversations"), F.col("conv_id")
+    j = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role"))
+    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") % 1000
+    at = (i.cast("long") * 100_000 + F.col("turn") * 10 + j) * 1000
+    files = c.select(F.when(i % 2 == 0, "v0").otherwise("v1").alias("volume"), F.concat_ws("/", F.lit("Conv"), i.cast("string"), F.col("turn").cast("string"), "role", j.cast("string")).alias("path"), F.array(F.struct(at.alias("volume_offset"), n.alias("length"))).alias("extents"))
+    drive = F.when(i % 3 == 0, "C:").when(i % 3 == 1, "D:").otherwise("E:")
+    ex = c.select(i.alias("position"), drive.alias("drive"), F.concat(F.lit("conv/"), i.cast("string")).alias("rel")).distinct()
+    return ranges.apply_exclusions(ex, spark.createDataFrame([("v0", "C:", "ntfs"), ("v1", "D:\\", "ext4")], "volume string, letter string, filesystem string"), files)
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '/store/' WHEN 1 THEN '/a/b/store/' END AS pattern FROM supplier""")
+def repository_patterns(spark, sf):
+    k = F.col("s_suppkey") % 4
+    home = F.concat(F.lit("/home/"), F.col("s_suppkey").cast("string"))
+    store = F.when(k == 0, F.concat(home, F.lit("//store"))).when(k == 1, F.concat(home, F.lit("/a/b/store/"))).when(k == 2, home).otherwise(F.concat(home, F.lit("x/store")))
+    return table(spark, sf, "supplier").select("s_suppkey", paths.repository_pattern(store, F.concat(home, F.lit("/"))).alias("pattern"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'ntfs' WHEN 1 THEN 'exfat' WHEN 2 THEN 'fat32' WHEN 3 THEN 'ext4' END AS filesystem FROM supplier""")
+def filesystems(spark, sf):
+    """Invented first 2 KiB of volumes; ext without the extents or 64-bit feature, and anything else, is unknown."""
+    zeros = lambda n: F.unhex(F.lit("00" * n))
+    magic = lambda at, m: F.concat(zeros(at), F.lit(m), zeros(2048 - at - len(m)))
+    ext = lambda features: F.concat(zeros(1080), F.lit(b"\x53\xef"), zeros(38), F.lit(features), zeros(927))
+    heads = (magic(3, b"NTFS    "), magic(3, b"EXFAT   "), magic(82, b"FAT32   "), ext(b"\x40"), ext(b"\x02"), zeros(2048))
+    k, head = F.col("s_suppkey") % 6, F.lit(None).cast("binary")
+    for i, h in enumerate(heads):
+        head = F.when(k == i, h).otherwise(head)
+    return table(spark, sf, "supplier").select("s_suppkey", S.filesystem(head).alias("filesystem"))
