@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.worker import held
+from chunkloom.llm.worker import held, trim
 from chunkloom.storage import staged
 
 PER_CLASS = 4096
@@ -283,7 +283,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     text = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "fits"), "toxic-sample")
     triples = staged(_triples(text.where("not fits")), "toxic-triples")
     shared = staged(shared_counts(docs, triples.select("word").distinct().toArrow().column("word").combine_chunks()), "toxic-shared")
+    trim()
     model = _model(triples, shared)
+    trim()  # of the tables that it was made from
     seen = evidence(text.where("fits"), docs.sparkSession.sparkContext.broadcast(model), "toxic").toArrow()  # bounded by the sample
     x = np.column_stack([seen.column(k).to_numpy() for k in EVIDENCE])
     return model, curve(x, seen.column("toxic").to_numpy().astype(float), stands_for(labels, per_class)) if seen.num_rows else np.zeros(len(EVIDENCE) + 1)

@@ -21,10 +21,15 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def clear() -> None:
-    """Forgets what is kept, and gives memory that is free now back to the system where its library can."""
+    """Forgets what is kept, and gives its memory back."""
     if _held:
         _held.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
