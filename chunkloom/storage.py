@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _staged: list[str] = []
+#: Rows that go to a Python worker at once; a batch is held by the executor and by its worker.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,9 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers of all executors, which needn't have it installed. Once a context."""
+    """Gives this package to the Python workers of all executors, which needn't have it installed (once a context), and sends them smaller batches if the session sets no size."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's own, far too many for whole texts
+        spark.conf.set(BATCH_ROWS, "2000")
     sc = spark.sparkContext
     if getattr(sc, "_chunkloom_shipped", False):
         return
