@@ -33,10 +33,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the tables staged so far; results that read them must have been written."""
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+def made() -> list[str]:
+    """The paths of the tables staged so far."""
+    return list(_staged)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Removes the tables staged so far, or those of some paths; results that read them must have been written."""
+    for name in made() if paths is None else paths:
+        if name in _staged:
+            _staged.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

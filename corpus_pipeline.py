@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import jaccard, mix, pack, pii, toxic
 from chunkloom.llm.queries import tokenizer_file
-from chunkloom.storage import staged, table
+from chunkloom.storage import made, release, staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The pipeline's near copies: five words, a similarity of 0.8.
@@ -67,12 +68,29 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack.pack(rows.repartitionByRange(*order).sortWithinPartitions(*order), tokenizer_file("word_bpe_49k.json"))
 
 
+_left: list[str] = []
+
+
+def _releasing(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; when it begins, the tables that the stage before staged go, as its result has been written."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        before = set(made())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [p for p in made() if p not in before]
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("n-gram jaccard join", drop_near_copies),
-    ("personal data", mask_personal_data),
-    ("mixing sources", mix_sources),
-    ("packing", pack_sequences),
+    ("toxicity", _releasing(drop_toxic)),
+    ("n-gram jaccard join", _releasing(drop_near_copies)),
+    ("personal data", _releasing(mask_personal_data)),
+    ("mixing sources", _releasing(mix_sources)),
+    ("packing", _releasing(pack_sequences)),
 ]
 
 #: SQL can't express the first stage (a trained model); tests hold every stage against a brute-force version.
