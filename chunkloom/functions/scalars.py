@@ -47,11 +47,16 @@ def bloom_bits(items: Column, rate: float) -> Column:
     return align_up(F.ceil(-items * F.log(F.lit(rate)) / (F.log(F.lit(2.0)) * F.log(F.lit(2.0)))).cast("long"), 64)
 
 
-def format_bytes(n: Column) -> Column:
-    """Binary units with one digit behind the point; below 1024 plain bytes."""
+def format_bytes(n: Column, units: str = "KMGTPE") -> Column:
+    """Binary units with one digit behind the point, of exact ties the even one (Spark's own format takes the greater); below 1024 plain bytes. From the last unit on all is in it."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in enumerate("KMGTPE", 1):
-        out = F.when(n >= 1 << (10 * power), F.concat(F.format_string("%.1f", n / F.lit(float(1 << (10 * power)))), F.lit(f" {unit}B"))).otherwise(out)
+    for power, unit in enumerate(units, 1):
+        size = 1 << (10 * power)
+        tenths = n.cast("double").cast("decimal(20,0)") * 10
+        low = F.floor(tenths / F.lit(size).cast("decimal(20,0)"))
+        twice = (tenths - low * F.lit(size).cast("decimal(20,0)")) * 2 - size  # behind the lower tenth, against half a tenth
+        near = (low + F.when((twice > 0) | ((twice == 0) & (low % 2 == 1)), 1).otherwise(0)).cast("long")
+        out = F.when(n >= size, F.concat(F.floor(near / 10).cast("long").cast("string"), F.lit("."), (near % 10).cast("string"), F.lit(f" {unit}B"))).otherwise(out)
     return out
 
 

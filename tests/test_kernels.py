@@ -8,6 +8,7 @@ import struct
 import uuid
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,29 @@ def test_rules_and_globs(spark):
     assert out("a\\[1\\].txt") == ["a[1].txt"] and out("[a-") == [] and out("#x", " ") == []
 
 
+def test_byte_labels_of_large_sizes(spark):
+    """Against C's rounding of the exact quotient; the query's SQL ends at GB, the operator at EB."""
+    r = random.Random(5)
+    sizes = [0, 1023, 1024, 1280, 1792, 1331, (1 << 20) - 1, 1 << 40, 5 << 38, (1 << 60) + (1 << 58), (1 << 63) - 1, *(r.getrandbits(r.randint(1, 62)) for _ in range(3000))]
+    d = spark.createDataFrame([(n,) for n in sizes], "n long")
+
+    def label(n, units):
+        power = min(max((n.bit_length() - 1) // 10, 0), len(units))
+        return f"{n / (1 << 10 * power):.1f} {units[power - 1]}B" if power else f"{n} B"
+
+    for units in ("KMGTPE", "KMG"):
+        assert {x.n: x.l for x in d.select("n", scalars.format_bytes(F.col("n"), units).alias("l")).collect()} == {n: label(n, units) for n in sizes}
+
+
+def test_byte_labels_beyond_gigabytes(spark, tmp_path):
+    from chunkloom.plans import queries
+
+    spark.createDataFrame([(396325,), (9000000,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(map(tuple, queries.byte_labels(spark, str(tmp_path)).collect())) == sorted(con.execute(queries.ORACLES["byte_labels"]).fetchall())
+
+
 def test_scalars(spark):
     d = spark.range(1)
     one = lambda c: d.select(c.alias("x")).first().x
