@@ -40,7 +40,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), all_links=False).drop("text_hash")
+    """All links are made and verified; their number a document is in jaccard_links, as this query has its SQL's columns."""
+    return jaccard_links(spark, sf_dir).drop("n_links")
+
+
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of op6_jaccard with n_links: classes of equal sets other than the document's own that link with it."""
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_token_counts, op3_pack, op4_topk, op5_pii, op6_jaccard, op7_url_filter, op8_html_text, op9_media, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_token_counts, op3_pack, op4_topk, op5_pii, op6_jaccard, op7_url_filter, op8_html_text, op9_media, op10_toxicity, jaccard_links)}
 
 ORACLES: dict[str, str] = {
     "op6_jaccard": r"""
@@ -72,6 +78,18 @@ l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a)
 SELECT n.doc_id, any_value(n) AS n_shingles, min(seen) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY 1
+""",
+    "jaccard_links": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
+s AS (SELECT doc_id, unnest(g) AS x FROM g), n AS (SELECT doc_id, len(g)::BIGINT AS n, min(doc_id) OVER (PARTITION BY list_sort(g)) AS class FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, x.class AS ca, y.class AS cb FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b, ca, cb FROM l UNION ALL SELECT b, a, cb, ca FROM l),
+k AS (SELECT a, count(DISTINCT cb) FILTER (ca <> cb) AS n_links FROM e GROUP BY a),
+r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT n.doc_id, any_value(n) AS n_shingles, min(seen) AS component_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links FROM n JOIN r ON n.doc_id = r.doc_id LEFT JOIN k ON n.doc_id = k.a GROUP BY 1
 """,
     # for the one layout that the provided pages have
     "op8_html_text": r"""

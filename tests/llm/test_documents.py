@@ -9,12 +9,14 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.llm import jaccard, media, mix, pack, pii, tokens, toxic
+from chunkloom.llm import queries as Q
 from chunkloom.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+").findall
@@ -593,3 +595,30 @@ def test_all_links_are_counted(spark, monkeypatch, block):
     assert {x.doc_id: x.n_links for x in got} == {i: links.get(x, 0) for i, x in sets.items()}
     if block == 8:
         assert {x.doc_id: x.component_id for x in jaccard.join(documents(spark, rows), all_links=False).collect()} == {x.doc_id: x.component_id for x in got}
+
+
+def test_the_query_makes_every_link(spark, tmp_path, monkeypatch):
+    """Near copies that all link: pairs that join no components are made as well, and SQL counts as many."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(["y" + str(i) if j == 7 * (i % 8) else w for j, w in enumerate(base)]), "s") for i in range(24)] + [(100, " ".join(base), "s"), (101, " ".join(base), "s"), (102, None, "s")]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    made = []
+    staged = jaccard.staged
+
+    def kept(d, name):
+        out = staged(d, name)
+        if name in ("jaccard-links", "jaccard-rest"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", kept)
+    for name in ("op6_jaccard", "jaccard_links"):
+        got = Q.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(Q.ORACLES[name])
+        assert got.columns == [c[0] for c in want.description]
+        want = sorted(want.fetchall())
+        assert sorted(map(tuple, got.collect())) == want
+    number = {r[0]: r[3] for r in want if r[0] != 101}  # 100 and 101 are one class
+    assert [2 * sum(made[:2]), 2 * sum(made[2:])] == [sum(number.values())] * 2 and max(number.values()) > 1
