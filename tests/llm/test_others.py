@@ -270,3 +270,31 @@ def test_each_layout_of_a_host_has_its_wrapper(spark):
     assert {out[200 + i] for i in range(30)} == {"\n".join(("Heading", say(1, 20), say(2, 9)))}
     assert all(out[300 + i] == "\n".join(("Template", f"t{i}", say(i, 20), say(-i, 9))) for i in range(30))
     assert out[400] == say(400, 3)
+
+
+def test_wrappers_are_aligned_from_all_pages(spark, monkeypatch):
+    """Pages with and without an article get the expression of all pages of their layout, in one group and in many; a fragment is whole."""
+    say = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    story = lambda i: f"<html><body><div>Our site</div><article><h1>t{i}</h1><p>{say(i, 9)}{'<p>more' * (i % 3)}{'<h2>x</h2><p>last' if i == 17 else ''}</article></body></html>"
+    bare = lambda i: f"<html><body><div>Our site</div><p>{say(i, 30)}{f'<div>x{i}</div><p>y' if i % 2 else ''}<div>All rights kept</div></body></html>"
+    rows = [(i, f"http://a.net/{i}", story(i)) for i in range(40)] + [(100 + i, f"http://b.net/{i}", bare(i)) for i in range(40)]
+    rows += [(200, "http://c.net/", f"<div>{say(1, 3)}</div><p>{say(2, 40)}<ul><li>one</ul>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (1024, 4):
+        monkeypatch.setattr(html, "GROUP", group, raising=False)
+        found = {(r.host, tuple(r.container)): r for r in html.wrappers(pages.unionAll(pages)).collect()}
+        assert len(found) == 3
+        assert found["a.net", ("html", "body", "article")].expression.startswith("<html><body><div>Our site</><article><h1>#</>(<p>#</>)+(<h2>x</>)?")
+        assert found["b.net", ("html", "body")].expression == "<html><body><div>Our site</>(<p>#</>)(<div>#</>)?(<p>y</>)?<div>All rights kept</></></>".replace("(<p>#</>)(", "<p>#</>(")
+        assert sorted(found["b.net", ("html", "body")].constants) == ["All rights kept", "Our site"]
+        out = {r.page_id: r.text for r in html.extract(pages).collect()}
+        assert out[17] == "\n".join(("t17", say(17, 9), "more", "more", "x", "last"))
+        assert out[101] == f"{say(1, 30)}\nx1\ny" and out[102] == say(2, 30) and out[200] == "\n".join((say(1, 3), say(2, 40), "one"))
+
+
+def test_wrappers_stay_small():
+    """Elements that one page each has become one optional item, and constants before and behind them stay; long sequences keep both ends."""
+    page = lambda i, n: html.texts("<body><div>Top</div>" + "".join(f"<p class='{chr(97 + i)}{chr(97 + j // 26)}{chr(97 + j % 26)}'>t" for j in range(n)) + "<div>End</div></body>")
+    for n in (40, 600):
+        w = html.infer([page(i, n) for i in range(20)])
+        assert w.constants == {"Top", "End"} and len(w.expression) < 20_000 and f"(<{html.ANY}>" in w.expression
