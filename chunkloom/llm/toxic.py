@@ -31,13 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.worker import held, trim
+from chunkloom.llm.worker import clear, held, trim
 from chunkloom.storage import staged
 
 PER_CLASS = 4096
 DISCOUNT, WORST, BOUND = 3.0, 3, 3.5
 THRESHOLD = 0.7
 CHUNK_BYTES = 1 << 19
+FLUSH_WORDS, SENT_ROWS = 1 << 18, 1 << 15
 EVIDENCE = ("whole", "worst", "length")
 words_of = re.compile(r"[^\W\d_]+").findall
 
@@ -155,17 +156,46 @@ def shared_counts(docs: DataFrame, words: pa.Array) -> DataFrame:
 
 
 def _triples(sample: DataFrame) -> DataFrame:
-    """earlier, before, word, and whether toxic (a) and ordinary (b) documents have these three in a row. "" stands before a text."""
+    """earlier, before, word, and whether toxic (a) and ordinary (b) documents have these three in a row. "" stands before a text.
+
+    A task holds the words of FLUSH_WORDS, or of one text, as numbers; what a flush repeats of another is one row after the sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()  # of what the stages before kept
+        place: dict[str, int] = {"": 0}
+        texts: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = pa.array(list(place), pa.string())
+            earlier = np.concatenate([c[:-2] for _, c in texts])
+            before = np.concatenate([c[1:-1] for _, c in texts])
+            word = np.concatenate([c[2:] for _, c in texts])
+            toxic = np.repeat([y for y, _ in texts], [len(c) - 2 for _, c in texts])
+            last, first = word << 1 | toxic, earlier << 32 | before
+            order = np.lexsort((last, first))
+            last, first = last[order], first[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (last[1:] != last[:-1]) | (first[1:] != first[:-1])
+            order = order[new]
+            for lo in range(0, len(order), SENT_ROWS):
+                at = order[lo : lo + SENT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[at], pa.int64()), *(words.take(pa.array(c[at])) for c in (earlier, before, word))], names=["toxic", "earlier", "before", "word"])
+            texts.clear()
+            place.clear()
+            place[""] = 0
+
+        waiting = 0
         for b in batches:
-            seen: set = set()
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of((t or "").lower())
-                seen.update((y, *x) for x in zip(["", "", *words], ["", *words], words, strict=False))
-            cols = list(zip(*seen, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["toxic", "earlier", "before", "word"])
+            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                words = words_of((t.as_py() or "").lower())
+                texts.append((y, np.array([0, 0, *(place.setdefault(w, len(place)) for w in words)], np.int64)))
+                waiting += len(words)
+                if waiting >= FLUSH_WORDS:
+                    yield from flush()
+                    waiting = 0
+        if texts:
+            yield from flush()
 
     got = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "toxic long, earlier string, before string, word string")
     return got.groupBy("earlier", "before", "word").agg(F.max(F.col("toxic")).alias("a"), F.max(1 - F.col("toxic")).alias("b"))

@@ -622,3 +622,44 @@ def test_the_query_makes_every_link(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want
     number = {r[0]: r[3] for r in want if r[0] != 101}  # 100 and 101 are one class
     assert [2 * sum(made[:2]), 2 * sum(made[2:])] == [sum(number.values())] * 2 and max(number.values()) > 1
+
+
+def test_triples_hold_little(monkeypatch):
+    """A worker forgets what stages before kept, and holds a bounded number of words; the rows are those of sets of all texts."""
+    import tracemalloc
+    from unittest.mock import MagicMock
+
+    from chunkloom.llm import worker
+
+    class Sample:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, *_):
+            return MagicMock()
+
+    monkeypatch.setattr(toxic, "F", MagicMock())
+    sample = Sample()
+    toxic._triples(sample)
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(500)) for _ in range(1000)] + [None, "", "Tail tail tail tail tail"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(len(texts))], pa.int64())], names=["text", "toxic"])
+    monkeypatch.setattr(worker, "_held", {"encoder": "of the stage before"})
+    got, rows = set(), []
+    tracemalloc.start()
+    for x in sample.run(iter([batch])):
+        rows.append(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert worker._held == {} and peak < 50e6 and max(x.num_rows for x in rows) <= 1 << 16
+    for x in rows:
+        got.update(zip(*(c.to_pylist() for c in x.columns), strict=True))
+    want = set()
+    for i, t in enumerate(texts):
+        words = toxic.words_of((t or "").lower())
+        want.update((i % 2, *x) for x in zip(["", "", *words], ["", *words], words, strict=False))
+    assert got == want
