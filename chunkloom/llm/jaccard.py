@@ -11,6 +11,8 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a t
    member and list, not all pairs. Verified links give components. Then members of one list that are in different
    components meet as well, so no link is lost that could change a component.
    Long lists are cut into blocks, a task gets two of them at most.
+   All links lie within the components that this gives. Where their number is asked for, the members of a component meet
+   with whole sets, in blocks again, and every pair is verified there; each block gives its members' numbers of links.
 4. Pairs are refuted by sizes and by a histogram of the set in CELLS cells (exact bounds), in the second step before they
    become rows; the others are verified on whole sets, which are read again from the texts of the rows concerned.
 
@@ -38,7 +40,9 @@ from chunkloom.storage import staged
 MAX_FREQUENT, FLUSH_TOKENS, FREQUENT_IN_TASK, SENT_BY_FLUSH = 100_000, 1_000_000, 3, 20_000
 #: The boundary is searched up to MOST_LIGHT words, where a set has about 1,000 subsets; larger sets go to the lists, so no link depends on it.
 CELLS, MOST_LIGHT = 256, 16
-BLOCK = 1024  # members of a list that meet in one task
+BLOCK = 1024  # members of a list or component that meet in one task
+BLOCK_SHINGLES = 1 << 21  # of a component's members in one block, about
+ROW_LINKS = 32  # classes of a component up to which each link is a row; of larger ones links are counted where they are verified
 #: log2 of the bits of the filter of ids whose texts are read again: 16 an id between these, so 16 MB at most. It only spares work.
 LEAST_BITS, MOST_BITS = 20, 27
 
@@ -232,6 +236,62 @@ def _across(members: DataFrame, t: int) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _within(sets: DataFrame, members: DataFrame, t: int) -> DataFrame:
+    """All links within components: rows (a, b, null), a > b, of those with at most ROW_LINKS members; of the others (id, null, links to a block).
+
+    sets: id, set. members: id, label, c (the component's members), w (their shingles). Every pair is compared by its whole sets, exactly.
+    """
+    n_blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("w") / BLOCK_SHINGLES))
+    dealt = sets.join(members, "id").withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "c", "set")
+    rows = ROW_LINKS
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        held = group.column("set").combine_chunks()
+        n = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        of, code = np.repeat(np.arange(len(ids)), n), np.unique(held.flatten().to_numpy(), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        of, code = of[order], code[order]
+        often = np.bincount(code)[code] > 1  # others have nothing in common
+        of, code = of[often], np.cumsum(np.diff(code[often], prepend=-1) != 0) - 1
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        common = np.zeros((len(left), len(right)), np.int64)
+        for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 1024):
+            at = slice(*np.searchsorted(code, [lo, lo + 1024]))
+            has = np.zeros((1024, len(ids)), np.float32)
+            has[code[at] - lo, of[at]] = 1
+            common += (has[:, left].T @ has[:, right]).astype(np.int64)
+        linked = ((100 + t) * common >= t * (n[left][:, None] + n[right][None, :])) & (ids[left][:, None] != ids[right][None, :])
+        if group.column("c")[0].as_py() <= rows:
+            x, y = np.nonzero(linked if i != j else np.triu(linked))
+            a, b = ids[left[x]], ids[right[y]]
+            return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64()), "links": pa.nulls(len(a), pa.int64())})
+        degree = np.zeros(len(ids), np.int64)
+        degree[left] += linked.sum(axis=1)
+        if i != j:
+            degree[right] += linked.sum(axis=0)
+        return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.nulls(len(ids), pa.int64()), "links": pa.array(degree, pa.int64())})
+
+    return dealt.groupBy("label", "i", "j").applyInArrow(run, "a long, b long, links long")
+
+
+def _degrees(docs: DataFrame, links: DataFrame, labels: DataFrame, reps: DataFrame, k: int, t: int) -> DataFrame:
+    """rep, n_links of every class that links. links: of all classes with their lists' smallest ids."""
+    ids = reps.select(F.col("doc_id").alias("id"), "n").join(labels.withColumnRenamed("v", "id"), "id")
+    sizes = ids.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    members = staged(ids.join(sizes, "label").select("id", "label", "c", "w"), "jaccard-members")
+    within = staged(_within(_sets(docs, members.select("id").distinct(), k), members, t), "jaccard-within")
+    rest = staged(within.where("b is not null").select("a", "b").distinct().join(links, ["a", "b"], "left_anti"), "jaccard-rest")
+    small = members.where(F.col("c") <= ROW_LINKS).select(F.col("id").alias("a")).distinct()
+    row = links.join(small, "a", "left_semi").select("a", "b").unionByName(rest)
+    one = F.lit(1).cast("long").alias("links")
+    ends = row.select(F.col("a").alias("rep"), one).unionByName(row.select(F.col("b").alias("rep"), one))
+    return ends.unionByName(within.where("b is null").select(F.col("a").alias("rep"), "links")).groupBy("rep").agg(F.sum("links").alias("n_links"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, label: the smallest vertex reachable by edges (a, b), for every vertex that has one.
 
@@ -253,8 +313,8 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, all_links: bool = True) -> Da
     """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) and n_links of every row.
 
     component_id: the smallest doc_id reachable by links. n_links: all links of the row's class to other classes (rows of
-    equal sets are a class); every pair of a list that sizes and histograms don't refute is verified for it. Without
-    all_links there is no such column, and pairs of one component that can't change it aren't made. Null and empty texts
+    equal sets are a class); every pair of a component is verified for it. Without all_links there is no such column, and
+    pairs of one component that can't change it aren't verified. Null and empty texts
     have no shingles and link with nothing. Rows are the vertices: rows of one id with different texts are documents of
     their own and don't link their groups. Rows with a null id are alone, with a null component, unless an equal set has an
     id. Other columns are not read. An empty table gives no rows.
@@ -284,20 +344,17 @@ def join(docs: DataFrame, k: int = 4, t: int = 85, all_links: bool = True) -> Da
     stars = staged(stars, "jaccard-stars")
     links = staged(_verified(docs, stars, reps, k, t, "jaccard-star"), "jaccard-links")
     labels = components(links)
-    # members of one list in different components; for all links each is one of its own
+    # members of one list in different components
     own = lists.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-    if all_links:
-        own = lists.select("key", "doc_id", "n", F.col("doc_id").alias("label"))
     mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x < y and c > 2").select("key", "c")
     more = _across(own.join(mixed, "key").join(reps.select("doc_id", "cells"), "doc_id"), t).distinct().join(stars, ["a", "b"], "left_anti")
-    found = staged(_verified(docs, staged(more, "jaccard-more"), reps, k, t, "jaccard-rest"), "jaccard-rest")
+    found = staged(_verified(docs, staged(more, "jaccard-more"), reps, k, t, "jaccard-across"), "jaccard-across")
     if not found.isEmpty():
-        links = links.unionByName(found)
-        labels = components(links)
+        labels = components(links.unionByName(found))
     component = F.coalesce("label", "rep", "doc_id").alias("component_id")
     known = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left")
     if not all_links:
         return rows.join(known, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), component, "text_hash")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = _degrees(docs, links, labels, reps, k, t)
     out = rows.join(known.join(degree, "rep", "left"), ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component, "text_hash", F.coalesce("n_links", F.lit(0)).alias("n_links"))

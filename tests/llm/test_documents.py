@@ -663,3 +663,28 @@ def test_triples_hold_little(monkeypatch):
         words = toxic.words_of((t or "").lower())
         want.update((i % 2, *x) for x in zip(["", "", *words], ["", *words], words, strict=False))
     assert got == want
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_links_of_a_large_group_are_counted_not_made(spark, monkeypatch, block):
+    """All links of near copies are counted, against brute force, and no table of a pair's steps has a row for each of them."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    base, size = [f"w{i}" for i in range(120)], 80
+    rows = [(i, " ".join([f"y{i}" if j == 7 * i % 120 else w for j, w in enumerate(base)]), "s") for i in range(size)]
+    rows.append((size, " ".join([*base, "z"]), "s"))
+    made, staged = {}, jaccard.staged
+
+    def kept(d, name):
+        out = staged(d, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", kept)
+    got = {x.doc_id: x.n_links for x in jaccard.join(documents(spark, rows)).collect()}
+    sets = {i: frozenset(tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)) for i, t, _ in rows}
+    classes = set(sets.values())
+    assert got == {i: sum(s != x and 100 * len(s & x) >= 85 * len(s | x) for x in classes) for i, s in sets.items()}
+    links = sum(got.values()) // 2
+    assert links > 10 * size
+    pairs = ("jaccard-stars", "jaccard-links", "jaccard-more", "jaccard-rest-left", "jaccard-rest", "jaccard-across-left", "jaccard-across")
+    assert sum(made.get(n, 0) for n in pairs) < links
